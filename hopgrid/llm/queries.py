@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopgrid.llm import decontaminate, secrets
+from hopgrid.llm import bpe, decontaminate, secrets
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +22,17 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(found)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(_docs(spark, sf_dir), public_tokenizers.path(name), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op3_decontaminate": op3_decontaminate,
+        "op9_bpe": op9_bpe,
     }
 
 
