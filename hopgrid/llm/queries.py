@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopgrid.llm import bpe, decontaminate, secrets
+from hopgrid.llm import bpe, decontaminate, pii, secrets
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(found)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_docs(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
         "op3_decontaminate": op3_decontaminate,
+        "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
     }
 
