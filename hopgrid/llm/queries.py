@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopgrid.llm import bpe, decontaminate, pii, secrets
+from hopgrid.llm import bpe, decontaminate, pii, quality, secrets
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_docs(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_docs(spark, sf_dir))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.contamination(found)
@@ -35,6 +39,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
+        "op2_quality": op2_quality,
         "op3_decontaminate": op3_decontaminate,
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
