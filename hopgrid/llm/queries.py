@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopgrid.llm import bpe, decontaminate, pii, quality, secrets
+from hopgrid.llm import bpe, decontaminate, pii, quality, secrets, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -
     return bpe.encode(_docs(spark, sf_dir), public_tokenizers.path(name), with_ids=False)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": op1_secrets,
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
+        "op10_warc": op10_warc,
     }
 
 
@@ -62,5 +67,14 @@ from dw left join pos using (r) left join its using (r)
 """
 
 
+OP10_SQL = """
+with p as (select page_id, strlen(coalesce(html,'')) as payload_bytes, sha1(coalesce(html,'')) as payload_digest from pages),
+k as (select payload_digest, max(page_id) as keep from p where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, p.payload_digest, case when keep <> page_id then 'revisit' else 'response' end as record_type,
+  case when keep <> page_id then keep end as refers_to
+from p left join k on p.payload_digest = k.payload_digest and payload_bytes >= 1000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op10_warc": OP10_SQL}
