@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopgrid.llm import bpe, decontaminate, pii, quality, secrets, warc
+from hopgrid.llm import bpe, decontaminate, pii, preference, quality, secrets, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(found)
 
 
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_docs(spark, sf_dir))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op2_quality": op2_quality,
         "op3_decontaminate": op3_decontaminate,
+        "op7_preference": op7_preference,
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
         "op10_warc": op10_warc,
@@ -67,6 +72,23 @@ from dw left join pos using (r) left join its using (r)
 """
 
 
+OP7_SQL = """
+with t as (select conv_id//2 as pair_id, conv_id%2=0 as c, replace(coalesce(role,''),'<|im_','<| im_') as role, replace(coalesce(text,''),'<|im_','<| im_') as text,
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role,''), coalesce(text,'')) as k from conversations where conv_id is not null),
+sizes as (select pair_id, count(*) filter (c) as nc, count(*) filter (not c) as nr from t group by 1),
+bad as (select a.pair_id, min(a.k) as k from t a join t b on a.pair_id=b.pair_id and a.k=b.k and a.c and not b.c where a.role<>b.role or a.text<>b.text group by 1),
+n as (select s.pair_id, coalesce(bad.k-1, least(nc, nr)) as n from sizes s left join bad on bad.pair_id=s.pair_id),
+r as (select t.*, n.n, '<|im_start|>'||role||chr(10)||text||'<|im_end|>'||chr(10) as s from t join n using (pair_id)),
+z as (select *, cast(sum(length(s)) over (partition by pair_id, c, k>n order by k) as bigint) as hi from r),
+x as (select *, (hi-11-length(text))||':'||(hi-1) as span from z)
+select pair_id, max(n) as n_prompt_turns, coalesce(string_agg(s, '' order by k) filter (c and k<=n), '') as prompt,
+  count(*) filter (c and k>n) as n_chosen_turns, coalesce(string_agg(s, '' order by k) filter (c and k>n), '') as chosen,
+  coalesce(string_agg(span, ',' order by k) filter (c and k>n and role='assistant'), '') as chosen_loss,
+  count(*) filter (not c and k>n) as n_rejected_turns, coalesce(string_agg(s, '' order by k) filter (not c and k>n), '') as rejected,
+  coalesce(string_agg(span, ',' order by k) filter (not c and k>n and role='assistant'), '') as rejected_loss
+from x group by pair_id
+"""
+
 OP10_SQL = """
 with p as (select page_id, strlen(coalesce(html,'')) as payload_bytes, sha1(coalesce(html,'')) as payload_digest from pages),
 k as (select payload_digest, max(page_id) as keep from p where payload_bytes >= 1000 group by 1)
@@ -77,4 +99,4 @@ from p left join k on p.payload_digest = k.payload_digest and payload_bytes >= 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op10_warc": OP10_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL}
