@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopgrid.llm import bpe, decontaminate, pii, preference, quality, secrets, warc
+from hopgrid.llm import bpe, decontaminate, pii, preference, quality, secrets, simhash, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(found)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(_docs(spark, sf_dir))
+
+
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": op1_secrets,
         "op2_quality": op2_quality,
         "op3_decontaminate": op3_decontaminate,
+        "op4_simhash": op4_simhash,
         "op7_preference": op7_preference,
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
