@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopgrid.llm import bpe, decontaminate, pii, preference, quality, secrets, simhash, warc
+from hopgrid.llm import bpe, decontaminate, pii, preference, quality, secrets, simhash, substrings, suffixes, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_docs(spark, sf_dir))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_docs(spark, sf_dir))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_docs(spark, sf_dir))
+
+
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -54,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_decontaminate": op3_decontaminate,
         "op4_simhash": op4_simhash,
+        "op5_suffixes": op5_suffixes,
+        "op6_substrings": op6_substrings,
         "op7_preference": op7_preference,
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
@@ -77,6 +87,17 @@ from dw left join pos using (r) left join its using (r)
 """
 
 
+OP6_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') w, row_number() over () as r from documents),
+win as (select r, i, hash(array_to_string(w[i:i+34], ' ')) as h, md5(array_to_string(w[i:i+34], ' ')) as m from (select r, w, unnest(range(1, len(w)-33)) as i from d where len(w) >= 35)),
+twice as (select h, m from win group by h, m having count(*) > 1),
+hit as (select r, i from win join twice using (h, m)),
+pos as (select r, list(distinct p) as gone from (select r, unnest(range(i, i+35)) as p from hit) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(array_to_string(case when gone is null then w else [x for x, k in w if not list_contains(gone, k)] end, ' ')) as kept_sha256
+from d left join pos using (r)
+"""
+
 OP7_SQL = """
 with t as (select conv_id//2 as pair_id, conv_id%2=0 as c, replace(coalesce(role,''),'<|im_','<| im_') as role, replace(coalesce(text,''),'<|im_','<| im_') as text,
   row_number() over (partition by conv_id order by turn nulls first, coalesce(role,''), coalesce(text,'')) as k from conversations where conv_id is not null),
@@ -104,4 +125,4 @@ from p left join k on p.payload_digest = k.payload_digest and payload_bytes >= 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op6_substrings": OP6_SQL, "op7_preference": OP7_SQL, "op10_warc": OP10_SQL}
