@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hopgrid.llm import bpe, decontaminate, pii, quality, simhash
+from hopgrid.llm.text import small_batches
 from hopgrid.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +21,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their language's perplexity band."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 

@@ -194,7 +194,7 @@ def encode(documents: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
                     shas.append(hashlib.sha256(ids).hexdigest())
                     texts.append(hashlib.sha256(decoded.encode()).hexdigest())
                 n = np.array([len(x) // 4 for x in raw], np.int64)
-                cols = [rb.column("doc_id").slice(c.first, len(c)), pa.array(n), pa.array(shas), pa.array(texts)]
+                cols = [rb.column("doc_id").slice(c.first, len(c)), pa.array(n), pa.array(shas, pa.string()), pa.array(texts, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     values = np.frombuffer(b"".join(raw), "<i4")

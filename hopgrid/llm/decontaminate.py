@@ -175,7 +175,7 @@ def contamination(found: DataFrame) -> DataFrame:
                     rb.column("__n_words"),
                     pa.array(hit, pa.int64()),
                     pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
                     pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)], pa.bool_()),
                 ],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],

@@ -336,7 +336,7 @@ def scan(documents: DataFrame) -> DataFrame:
                     spans[row] = render(every)
             cols = [pa.array(counts[:, k]) for k in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id"), *cols, pa.array(sha), pa.array(spans), pa.array(counts[:, 4:].sum(1))],
+                [rb.column("doc_id"), *cols, pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(counts[:, 4:].sum(1))],
                 names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_model"],
             )
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hopgrid.llm import bpe, decontaminate, pii, preference, quality, secrets, simhash, substrings, suffixes, warc
+from hopgrid.llm.text import small_batches
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str, name: str = "word_bpe_49k.json") -
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.round_trip(small_batches(spark).read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

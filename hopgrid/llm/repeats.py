@@ -273,6 +273,7 @@ def repeated(docs: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
     """(doc_id, th, spans): [first, end) unit spans, flat, that repeated windows cover, for documents that have any."""
     runs_ = anchors(docs, kind)
     per_anchor = runs_.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("k > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
+    per_anchor = store(per_anchor)  # a join of two plain exchanges, whose hot partitions Spark can split
     hit = store(runs_.join(per_anchor, "h"))
     classes = hit.filter("mixed").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n_occ"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("r"))
     classes = store(classes.select("h", "c", "n_occ", "n", "r.doc_id", "r.th", "r.lo"))

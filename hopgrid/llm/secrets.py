@@ -177,7 +177,7 @@ def scan(documents: DataFrame) -> DataFrame:
                     sha[row] = hashlib.sha256(render(base).encode()).hexdigest()
                     spans[row] = render(every)
             cols = [pa.array(counts[:, k]) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *cols[:3], pa.array(sha), pa.array(spans), cols[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal"])
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *cols[:3], pa.array(sha, pa.string()), pa.array(spans, pa.string()), cols[3]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long")

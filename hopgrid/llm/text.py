@@ -11,8 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-CHUNK_BYTES = 2 << 20
+# Freed batches go back to the system instead of a pool of the worker process.
+pa.set_memory_pool(pa.system_memory_pool())
+
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch that Spark hands to a task.
+BATCH_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 18
 U = np.uint64
 
@@ -101,6 +107,12 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
         i = j
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the Arrow batches of this session, so that long texts don't make large ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def byte_class(keep) -> np.ndarray:
     return np.array([bool(keep(b)) for b in range(256)])
 
