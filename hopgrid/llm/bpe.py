@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from hopgrid.llm.text import chunks
 
@@ -67,13 +68,27 @@ class WordBpe:
         splits = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.cut_special = regex.compile(f"({splits})") if splits else None
         self.space = regex.compile(r"\p{White_Space}+")
+        other, self.newer = self._newer_characters(path)
+        letter, digit = rf"[\p{{L}}--[{other}]]", rf"[\p{{N}}--[{other}]]"
         #: The tokenizer file's own pattern. Fixed value.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
+        self.pieces = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{other}]]+").findall
         self.spines: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
         self.pair_ok: dict[int, bool] = {}
         self.whole_ok: dict[int, bool] = {}
         self.cache: dict[str, tuple[bytes, str]] = {}
 
+    @staticmethod
+    def _newer_characters(path: str) -> tuple[str, dict[int, str]]:
+        """Where the three Unicode versions at hand differ, the library's is asked: characters that it takes
+        for neither letters nor digits but `regex` does (as a set's inside), and those that only it can lower."""
+        split, lower = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str, Tokenizer.from_file(path).normalizer.normalize_str
+        unknown = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+        newer = regex.findall(r"[\p{L}\p{N}]", unknown)
+        other = [ord(c) for c in newer if len(split(":" + c)) == 1] + [0x10FFFF]
+        ends = [k for k in range(len(other)) if k + 1 == len(other) or other[k + 1] != other[k] + 1]
+        ranges = [(other[a + 1], other[b]) for a, b in zip([-1, *ends], ends)]
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges), {ord(c): lower(c) for c in newer if lower(c) != c}
+
     def _spine(self, token: int, right: bool) -> list[tuple[int, int, int]]:
         """(part, born, gone): the parts at a token's right (left) border while it is built, by merge rank."""
         known = self.spines.get((token, right))
@@ -153,7 +168,9 @@ class WordBpe:
 
     def normal(self, text: str) -> str:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()  # letter by letter: no final form
+        if not text.isascii():
+            text = text.replace("Σ", "σ").translate(self.newer)
+        return text.lower()  # letter by letter: no final form
 
     def parts(self, text: str) -> list[tuple[bytes, str]]:
         """What each piece of a whole text gives, special tokens included."""
