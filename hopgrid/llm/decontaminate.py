@@ -112,8 +112,8 @@ class Index:
 FOUND = {"__n_words": "long", "__spans": "array<int>", "__items": "array<string>"}
 
 
-def _pass(docs: DataFrame, shared) -> DataFrame:
-    """Add one block's findings: spans are [first, end) pairs of word positions."""
+def _pass(docs: DataFrame, shared, finish=None, schema=None) -> DataFrame:
+    """Add one block's findings: spans are [first, end) pairs of word positions. The last pass can end in finish(batch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
@@ -135,9 +135,10 @@ def _pass(docs: DataFrame, shared) -> DataFrame:
                         items[row] = sorted(set(items[row] or []) | index.items(np.unique(h[own])))
             own = rb.columns[: -len(FOUND)]
             added = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*own, *added], names=rb.schema.names)
+            out = pa.RecordBatch.from_arrays([*own, *added], names=rb.schema.names)
+            yield finish(out) if finish else out
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema or docs.schema)
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> list[DataFrame]:
@@ -151,38 +152,41 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> list[DataFrame]:
     return [items.filter(part == i) for i in range(n)]
 
 
-def find(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
-    """The documents with __n_words, __spans and __items: the word spans that benchmark windows cover, and whose they are."""
+def find(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS, finish=None, schema=None) -> DataFrame:
+    """The documents with __n_words, __spans and __items: the word spans that benchmark windows cover, and whose they are.
+
+    finish turns a batch of that into one of `schema`, inside the last pass.
+    """
     out = documents.withColumns({k: F.lit(0).cast(t) if t == "long" else F.lit(None).cast(t) for k, t in FOUND.items()})
-    for i, b in enumerate(blocks(benchmark, most)):
+    parts = blocks(benchmark, most)
+    for i, b in enumerate(parts):
         if i and i % CHAIN == 0:
             out = cut(out)
-        out = _pass(out, documents.sparkSession.sparkContext.broadcast(Index(b.toArrow())))
+        shared = documents.sparkSession.sparkContext.broadcast(Index(b.toArrow()))
+        out = _pass(out, shared, finish, schema) if i + 1 == len(parts) else _pass(out, shared)
     return out
 
 
-def contamination(found: DataFrame) -> DataFrame:
-    """The contract's columns from `find`. Covered words of overlapping spans count once."""
+def contamination(documents: DataFrame, benchmark: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
+    """The contract's columns for every document. Covered words of overlapping spans count once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            hit = [covered(s) for s in rb.column("__spans").to_pylist()]
-            items = [sorted(x or []) for x in rb.column("__items").to_pylist()]
-            n = rb.column("__n_words").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rb.column("doc_id"),
-                    rb.column("__n_words"),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                    pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)], pa.bool_()),
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", *FOUND).mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    def finish(rb: pa.RecordBatch) -> pa.RecordBatch:
+        hit = [covered(s) for s in rb.column("__spans").to_pylist()]
+        items = [sorted(x or []) for x in rb.column("__items").to_pylist()]
+        n = rb.column("__n_words").to_pylist()
+        cols = {
+            "doc_id": rb.column("doc_id"),
+            "n_words": rb.column("__n_words"),
+            "n_hit": pa.array(hit, pa.int64()),
+            "n_items": pa.array([len(x) for x in items], pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+            "contaminated": pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)], pa.bool_()),
+        }
+        return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return find(documents.select("doc_id", "text"), benchmark, most, finish, schema)
 
 
 def covered(spans: list[int] | None) -> int:
@@ -196,10 +200,9 @@ def covered(spans: list[int] | None) -> int:
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            hit = np.array([covered(s) for s in rb.column("__spans").to_pylist()], np.int64)
-            clean = (hit == 0) | (20 * hit < rb.column("__n_words").to_numpy())
-            yield rb.select(rb.schema.names[: -len(FOUND)]).filter(pa.array(clean))
+    def finish(rb: pa.RecordBatch) -> pa.RecordBatch:
+        hit = np.array([covered(s) for s in rb.column("__spans").to_pylist()], np.int64)
+        clean = (hit == 0) | (20 * hit < rb.column("__n_words").to_numpy())
+        return rb.select(rb.schema.names[: -len(FOUND)]).filter(pa.array(clean))
 
-    return find(documents, benchmark).mapInArrow(run, documents.schema)
+    return find(documents, benchmark, finish=finish, schema=documents.schema)

@@ -1,0 +1,122 @@
+"""Secret and personal-data scans."""
+
+import itertools
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from hopgrid.llm import pii, secrets
+from tests.llm import brute
+from tests.llm.conftest import pairs, rows
+
+
+@pytest.mark.parametrize("name", ["edges", "documents", "empty"])
+def test_base_secrets(name, request):
+    df = request.getfixturevalue(name)
+    want = []
+    for d, t in pairs(df):
+        s = brute.secrets(t)
+        n = [sum(k == x for x, _, _ in s) for k in ("assign", "access", "hex")]
+        want.append((d, *n, brute.sha(brute.joined(s))))
+    got = secrets.scan(df)
+    assert rows(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=repr)
+    for r in got.collect():
+        base = [s for s in r["spans"].split(",") if s and not s.startswith("literal")]
+        assert brute.sha(",".join(base)) == r["base_sha256"]
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ('k = "Zx81!kqPw02LmNbv"\ndb_password = k', ["Zx81!kqPw02LmNbv"]),  # a constant, followed
+        ('{"clientSecret": "q8Zr-77tyUxW", "name": "Bob Smith"}', ["q8Zr-77tyUxW"]),
+        ("export API_KEY=abcDEF123456ghi", ["abcDEF123456ghi"]),
+        ('a = "9fQ2"\ntoken = "Zk31-" + "Qw8eRtYu77"', ["Zk31-", "Qw8eRtYu77"][1:]),
+        ("password: ${DB_PASSWORD}", []),
+        ('password = "changeme"', []),
+        ('title = "q8Zr-77tyUxW9k2m"', []),
+        ("password = os.environ('X')", []),
+        ("# password = 'q8Zr-77tyUxW'\nx = 1", []),
+    ],
+)
+def test_literals(text, found):
+    assert [text[s:e] for s, _, e in secrets.literal_spans(text)] == found
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["tok", "token", "Password", "=", ":", " ", '"', "'", "ab12cd", "AKIA", "A1B2C3D4E5F6G7H8", "0a1b2c3d4e5f6a7b8c9d0e1f", "\n", "ſ", "+", "é"]), max_size=25))
+def test_screen_loses_nothing(parts):
+    import pyarrow as pa
+
+    from hopgrid.llm.text import chunks
+
+    texts = ["".join(parts), "plain", "".join(parts[::-1])]
+    (c,) = chunks(pa.array(texts))
+    ok = secrets.screen(c.buf, c.offs)
+    for t, o in zip(texts, ok):
+        assert o or not (secrets.base_spans(t) + secrets.literal_spans(t))
+
+
+@pytest.mark.parametrize("name", ["edges", "documents", "empty"])
+def test_base_personal(name, request):
+    df = request.getfixturevalue(name)
+    want = []
+    for d, t in pairs(df):
+        s = brute.personal(t)
+        want.append((d, *(sum(k == x for x, _, _ in s) for k in ("email", "ip", "card", "phone")), brute.sha(brute.joined(s))))
+    got = pii.scan(df)
+    assert rows(got, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(want, key=repr)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="a1@.+-( )9é5 ", max_size=70))
+def test_personal_patterns(text):
+    got = sorted((pii.KINDS[k], s, e) for s, k, e in pii.base_spans(text))
+    assert got == sorted((k, s, e) for k, s, e in brute.personal(text))
+
+
+def test_viterbi_is_exact():
+    field, rng = pii.field(), np.random.default_rng(2)
+    sizes = np.array([3, 1, 5, 4])
+    em = rng.normal(size=(sizes.sum(), len(pii.LABELS))).astype(np.float32) * 2
+    got, at = field.viterbi(em, sizes), 0
+    for n in sizes:
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=int(n)), key=lambda y: sum(em[at + t, y[t]] for t in range(n)) + sum(field.trans[y[t], y[t + 1]] for t in range(n - 1)))
+        assert tuple(got[at : at + n]) == best
+        at += n
+
+
+def test_held_out_accuracy():
+    """Names, numbers and sentences that the table doesn't hold."""
+    held = [("Mr. {} spoke", "Hugo Blanc", 1), ("Dr. {} left", "Nina Weber", 1), ("phone: {} thanks", "555-9821", 2), ("call {} today", "(333) 555-0147", 2), ("ssn: {} here", "321-54-9876", 3), ("IBAN: {} ok", "GB29700012341234567890", 3)]
+    plain = ["the house by the river was old", "In 2004 we paid 17.20 for 3", "Words Words Words Words", "und der Hund ist da"]
+    ok = 0
+    for template, value, label in held:
+        text = template.format(value).encode()
+        buf = np.frombuffer(text, np.uint8)
+        starts, _, _, labels = pii.field().label(buf, np.array([0, len(buf)]))
+        a = text.index(value.encode())
+        own = (starts >= a) & (starts < a + len(value.encode()))
+        ok += bool((labels[own] == label).all() and not labels[~own].any())
+    for text in plain:
+        buf = np.frombuffer(text.encode(), np.uint8)
+        ok += not pii.field().label(buf, np.array([0, len(buf)]))[3].any()
+    assert ok >= 0.9 * (len(held) + len(plain))
+
+
+def test_model_spans_stay_off_clean_documents(documents):
+    assert pii.scan(documents).filter("n_model > 0").count() <= 0.01 * documents.count()
+
+
+@pytest.mark.parametrize("name", ["edges", "empty", "documents"])
+def test_redact(name, request):
+    df = request.getfixturevalue(name)
+    out = pii.redact(df)
+    assert out.columns == df.columns and out.count() == df.count()
+    before, after = pairs(df), pairs(out)
+    assert sorted(map(repr, [(d, t) for d, t in before if not brute.personal(t) and "Mr." not in (t or "")])) == sorted(map(repr, [(d, t) for d, t in after if not re.search(r"\[(EMAIL|IP|CARD|PHONE|NAME|LOCAL|ID)\]", t or "")]))
+    assert not any(brute.personal(t) for _, t in after)
+    assert all(r["n_chars"] == len(r["text"]) for r in out.filter("text is not null").collect())
