@@ -16,9 +16,9 @@ from pyspark.sql import SparkSession
 # Freed batches go back to the system instead of a pool of the worker process.
 pa.set_memory_pool(pa.system_memory_pool())
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Bytes of an Arrow batch that Spark hands to a task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 18
 U = np.uint64
 
