@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Directed edges; 4 bytes each, so 64 MB of neighbours and at most as many offsets.
-MAX_EDGES = 16_000_000
+#: Directed edges: 64 MB as two id columns on the driver, 16 MB of neighbours in each task.
+MAX_EDGES = 4_000_000
 SCHEMA = "src long, hop long, n long"
 
 
@@ -28,13 +28,7 @@ def hop_counts(edges: DataFrame, sources: DataFrame, tasks: int | None = None) -
     if not fits(edges):
         raise ValueError(f"more than {MAX_EDGES} edges; use the DataFrame traversal")
     spark = edges.sparkSession
-    table = edges.select("src", "dst").toArrow()
-    a, b = table["src"].to_numpy(), table["dst"].to_numpy()
-    ids = np.unique(a)
-    order = np.lexsort((b, a))
-    nbr = np.searchsorted(ids, b[order]).astype(np.int32)
-    starts = np.searchsorted(a[order], ids).astype(np.int64)
-    shared = spark.sparkContext.broadcast((ids, starts, nbr))
+    shared = spark.sparkContext.broadcast(_csr(edges))
     tasks = tasks or spark.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,6 +41,35 @@ def hop_counts(edges: DataFrame, sources: DataFrame, tasks: int | None = None) -
     return sources.select("v").repartition(tasks, F.xxhash64("v")).mapInArrow(run, SCHEMA)
 
 
+def _csr(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first neighbour of each, neighbours by position)."""
+    table = edges.select("src", "dst").toArrow()
+    a, b = table["src"].to_numpy(), table["dst"].to_numpy()
+    ids = np.unique(a)
+    order = np.lexsort((b, a))
+    return ids, np.searchsorted(a[order], ids).astype(np.int64), np.searchsorted(ids, b[order]).astype(np.int32)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, comp): ids from 1 in order of the smallest member, by hooking roots to the least label around them."""
+    if not fits(edges):
+        raise ValueError(f"more than {MAX_EDGES} edges; use star contraction")
+    ids, starts, nbr = _csr(edges)
+    label = np.arange(len(ids))
+    while len(ids):
+        least = np.minimum(np.minimum.reduceat(label[nbr], starts), label)
+        hooked = label.copy()
+        np.minimum.at(hooked, label, least)
+        hooked = np.minimum(hooked, least)
+        hooked = hooked[hooked]
+        if (hooked == label).all():
+            break
+        label = hooked
+    comp = np.unique(label, return_inverse=True)[1] + 1 if len(ids) else label
+    table = pa.table({"v": pa.array(ids, pa.int64()), "comp": pa.array(comp, pa.int64())})
+    return edges.sparkSession.createDataFrame(table, "v long, comp long")
+
+
 def _levels(ids: np.ndarray, starts: np.ndarray, nbr: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
     n = len(ids)
     front = np.zeros(n, np.uint64)

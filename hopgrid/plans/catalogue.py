@@ -103,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tail = "" if g == "cust_part_q50" else "_" + g
         on("connected_components" + tail, g)(lambda g: g.components)
         on("component_stats" + tail, g)(lambda g: g.stats)
+    on("connected_components_stars", "part_part_q45")(lambda g: components.connected_components(g.edges))
     on("component_summary", "part_part_q45")(lambda g: components.component_summary(g.stats))
     on("bfs_distances", "part_part_q48")(lambda g: bfs.bfs_distances(g.edges, g.sources(FEW)))
     on("bfs_distances_bottom_up", "part_part_q48")(lambda g: bfs.bfs_distances(g.edges, g.sources(FEW), "bottom_up", g.components))
@@ -186,6 +187,7 @@ select v, row_number() over (order by d desc, hub, degree desc, v) - 1 as positi
         tail = "" if g == "cust_part_q50" else "_" + g
         o["connected_components" + tail] = _base(g) + "select v, comp from comps"
         o["component_stats" + tail] = _base(g) + "select comp, n_vertices, n_edges from stats"
+    o["connected_components_stars"] = o["connected_components_part_part_q45"]
     for name in ("bfs_distances", "bfs_distances_bottom_up", "bfs_distances_switch"):
         o[name] = _base("part_part_q48") + f"select s as src, v, d from r where s in {picked.format(n=FEW)}"
     for mode in ("component", "global"):

@@ -23,9 +23,14 @@ class Graph:
         self.spark: SparkSession = raw.sparkSession
         self.edges = normalize.prepare(raw)
 
+    @cached_property
+    def small(self) -> bool:
+        """Whether the graph is within the size bound of the vectorised kernel."""
+        return kernel.fits(self.edges)
+
     @cached_property
     def components(self) -> DataFrame:
-        return cut(components.connected_components(self.edges))
+        return cut(kernel.components(self.edges) if self.small else components.connected_components(self.edges))
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -45,7 +50,7 @@ class Graph:
     def hop_counts(self, strategy: str = "auto", limit: int | None = None) -> DataFrame:
         """(src, hop, n). auto: the vectorised kernel within its size bound, else bit masks."""
         if strategy == "auto":
-            strategy = "kernel" if kernel.fits(self.edges) else "bitmask"
+            strategy = "kernel" if self.small else "bitmask"
         if strategy == "kernel":
             return kernel.hop_counts(self.edges, self.sources(limit))
         if strategy.startswith("scalar"):

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from hopgrid.operators import kernel, msbfs, normalize, trace
+from hopgrid.operators import components, kernel, msbfs, normalize, trace
 from hopgrid.plans.engine import Graph, run_workload
 from hopgrid.sources.edges import from_frame, read_edge_csv
 from hopgrid.sources.results import result_string
@@ -80,6 +80,7 @@ def test_masks_match_kernel(spark, pairs):
     g = Graph(spark.createDataFrame(pairs, "src long, dst long"))
     one = sorted(map(tuple, g.hop_counts("bitmask").collect()))
     assert one == sorted(map(tuple, kernel.hop_counts(g.edges, g.sources()).collect()))
+    assert sorted(map(tuple, kernel.components(g.edges).collect())) == sorted(map(tuple, components.connected_components(g.edges).collect()))
     sizes = {r["v"]: r["n_vertices"] for r in g.components.join(g.stats, "comp").collect()}
     for r in msbfs.reach_dist(g.hop_counts("bitmask")).collect():
         assert r["reach"] == sizes[r["src"]] - 1
