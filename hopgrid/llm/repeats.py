@@ -34,7 +34,7 @@ from hopgrid.session import cut, store
 
 U = np.uint64
 FILTER_BITS = 1 << 26
-GROUP = 1000
+GROUP = 4096
 SLICE = 1 << 20
 _BYTE, _WORD, _GRAM, _HULL, _OTHER = Roller(31), Roller(32), Roller(33), Roller(34), Roller(35)
 
