@@ -29,10 +29,9 @@ def popcount(words: list[Column]) -> Column:
 
 
 def trailing_zeros(word: Column) -> Column:
-    """Index of the lowest set bit (64 for 0); the lowest bit is isolated as w & (~w + 1) without overflow."""
-    lowest = word.bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("long"), F.lit(0)))
-    below = F.bitwise_not(lowest).bitwiseAND(lowest - F.when(lowest == F.lit(-(2**63)), F.lit(0)).otherwise(F.lit(1)))
-    return F.when(word == 0, F.lit(64)).when(word == F.lit(-(2**63)), F.lit(63)).otherwise(F.bit_count(below))
+    """Index of the lowest set bit; 64 for 0. The word of bit 63 alone has no negative and is told apart first."""
+    lowest = word.bitwiseAND(F.bitwise_not(word) + 1)
+    return F.when(word == 0, 64).when(word == F.lit(-(2**63)), 63).otherwise(F.bit_count(lowest - 1))
 
 
 def full_mask(n: int) -> int:

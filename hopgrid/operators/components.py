@@ -9,15 +9,22 @@ from hopgrid.operators.normalize import degree, with_position
 from hopgrid.session import cut
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: From so many edges on, the least neighbours are stored before they are joined: the join is then one of
+#: two plain exchanges, and Spark can split the partition of a hub.
+LARGE = 1_000_000
+
+
+def _large_star(e: DataFrame, large: bool) -> DataFrame:
     both = e.union(e.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    least = cut(least) if large else least
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, large: bool) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(least) if large else least
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
@@ -30,8 +37,9 @@ def min_labels(edges: DataFrame) -> DataFrame:
     """
     e = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").distinct())
     before = None
+    large = e.count() > LARGE
     while True:
-        e = cut(_small_star(_large_star(e)))
+        e = cut(_small_star(_large_star(e, large), large))
         row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h"), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)")).alias("g")).first()
         if (row["n"], row["h"], row["g"]) == before:
             break

@@ -19,7 +19,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopgrid.functions.bits import WORD_BITS, and_not, any_set, bit
+from hopgrid.functions.bits import WORD_BITS, and_not, any_set, bit, popcount
 from hopgrid.operators.normalize import with_position
 from hopgrid.session import cut
 
@@ -146,6 +146,21 @@ def frontier_sharing(t: Traversal) -> DataFrame:
     return t.discovered.filter("hop > 0").select(F.col("hop").alias("round"), bits.cast("long").alias("bits")).groupBy("round", "bits").agg(F.count(F.lit(1)).alias("n"))
 
 
+def edge_sharing(t: Traversal, edges: DataFrame) -> DataFrame:
+    """(round, bits, n): over the edges that a hop takes, how many sources first reach the end through it (ties count for each edge)."""
+    names = _names(t.words)
+    ends = t.discovered.select("batch", F.col("v").alias("dst"), (F.col("hop") - 1).alias("hop"), *[F.col(w).alias(f"e{k}") for k, w in enumerate(names)])
+    taken = t.discovered.join(edges, F.col("v") == F.col("src")).join(ends, ["batch", "dst", "hop"])
+    bits = popcount([F.col(w).bitwiseAND(F.col(f"e{k}")) for k, w in enumerate(names)])
+    return taken.select((F.col("hop") + 1).alias("round"), bits.cast("long").alias("bits")).filter("bits > 0").groupBy("round", "bits").agg(F.count(F.lit(1)).alias("n"))
+
+
+def batch_usage(t: Traversal) -> DataFrame:
+    """(batch, steps, mean_bits): hops a batch takes, and how many of its sources a newly reached row holds on average."""
+    rows = t.discovered.filter("hop > 0").select("batch", "hop", popcount([F.col(w) for w in _names(t.words)]).alias("bits"))
+    return rows.groupBy("batch").agg(F.max("hop").alias("steps"), (F.sum("bits").cast("double") / F.count(F.lit(1)).cast("double")).alias("mean_bits"))
+
+
 def distance_identity(counts: DataFrame) -> DataFrame:
     """(src, d1, d2): the distance sum, and the same as Σ_h #{v : d(v) > h} from the hop counts."""
     totals = counts.groupBy("src").agg(F.sum("n").alias("r"), F.max("hop").alias("m"), F.sum(F.col("n") * F.col("hop")).alias("d1"))

@@ -133,6 +133,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     on("diameter", "part_part_q45")(lambda g: msbfs.eccentricity(g.hop_counts()).agg(F.max("ecc").alias("diameter")))
     on("traversed_edges", "cust_part_q50")(lambda g: trace.traversed_edges(g.sources(), g.components, g.stats))
     on("frontier_sharing", "nation_region")(lambda g: msbfs.frontier_sharing(g.traversal()))
+    on("edge_sharing", "nation_region")(lambda g: msbfs.edge_sharing(g.traversal(), g.edges))
+    on("batch_usage", "supp_part_sparse")(lambda g: msbfs.batch_usage(g.traversal(words=1)))
     on("induced_subgraph", "supp_part_q49")(lambda g: normalize.induced_subgraph(g.edges, normalize.degree(g.edges).filter("degree >= 3")))
     on("distance_identity", "part_part_q48")(lambda g: msbfs.distance_identity(g.hop_counts()))
     on("nation_topk", "nation_region")(lambda g: g.top_k())
@@ -178,6 +180,11 @@ select v, row_number() over (order by d desc, hub, degree desc, v) - 1 as positi
         "diameter": _base("part_part_q45") + "select max(ecc) as diameter from p",
         "traversed_edges": _base("cust_part_q50") + "select cast(sum(n_edges) as bigint) as n_edges from comps join stats using (comp)",
         "frontier_sharing": _base("nation_region") + "select d as round, bits, count(*) as n from (select d, v, count(*) as bits from r where d>0 group by d, v) group by d, bits",
+        "edge_sharing": _base("nation_region")
+        + "select d as round, bits, count(*) as n from (select y.d, e.a, e.b, count(*) as bits from r x join e on x.v=e.a join r y on y.s=x.s and y.v=e.b and y.d=x.d+1 group by y.d, e.a, e.b) group by d, bits",
+        "batch_usage": _base("supp_part_sparse")
+        + """, place as (select v, (row_number() over (order by v) - 1)//64 as batch from deg), held as (select batch, d, r.v, count(*) as bits from r join place on place.v=r.s where d>0 group by batch, d, r.v)
+select batch, max(d) as steps, cast(sum(bits) as double)/cast(count(*) as double) as mean_bits from held group by batch""",
         "induced_subgraph": _base("supp_part_q49") + "select a as src, b as dst from e where a in (select v from deg where degree>=3) and b in (select v from deg where degree>=3)",
         "distance_identity": _base("part_part_q48") + "select v as src, dist_sum as d1, dist_sum as d2 from p",
         "scalar_topk": _topk_sql("supp_part_sparse", "component"),
