@@ -32,6 +32,8 @@ from hopgrid.llm.text import chunks
 END = "\x01"
 CACHE_WORDS = 200_000
 FOREVER = 1 << 60
+#: UTF-8 texts with all bytes below this one end before U+0540, where no two Unicode versions at hand differ.
+OLD_BELOW = 0xD5
 
 
 def byte_alphabet() -> list[str]:
@@ -70,8 +72,10 @@ class WordBpe:
         self.space = regex.compile(r"\p{White_Space}+")
         other, self.newer = self._newer_characters(path)
         letter, digit = rf"[\p{{L}}--[{other}]]", rf"[\p{{N}}--[{other}]]"
-        #: The tokenizer file's own pattern. Fixed value.
-        self.pieces = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{other}]]+").findall
+        #: The tokenizer file's own pattern, as it stands and with the characters that the versions differ on. Fixed value.
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
+        self.odd = regex.compile(f"[{other}{''.join(map(chr, self.newer))}]")
+        self.odd_pieces = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{digit}|[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{other}]]+").findall
         self.spines: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
         self.pair_ok: dict[int, bool] = {}
         self.whole_ok: dict[int, bool] = {}
@@ -169,22 +173,25 @@ class WordBpe:
     def normal(self, text: str) -> str:
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
         if not text.isascii():
-            text = text.replace("Σ", "σ").translate(self.newer)
+            text = text.replace("Σ", "σ")
         return text.lower()  # letter by letter: no final form
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """What each piece of a whole text gives, special tokens included."""
+    def parts(self, text: str, old: bool = False) -> list[tuple[bytes, str]]:
+        """What each piece of a whole text gives, special tokens included. old: the text is known to hold no odd character."""
         out = []
+        pieces = self.pieces
+        if not old and self.odd.search(text):
+            text, pieces = text.translate(self.newer), self.odd_pieces
         cached = self.cache.get
         for k, span in enumerate(self.cut_special.split(text)) if self.cut_special and "<" in text else ((0, text),):
             if k % 2:
                 out.append((np.array([self.special[span]], "<u4").tobytes(), span))
             elif span:
-                out += [cached(p) or self.word(p) for p in self.pieces(self.normal(span))]
+                out += [cached(p) or self.word(p) for p in pieces(self.normal(span))]
         return out
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        got = self.parts(text)
+    def encode(self, text: str, old: bool = False) -> tuple[bytes, str]:
+        got = self.parts(text, old)
         return b"".join([a for a, _ in got]), " ".join([b for _, b in got])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -205,8 +212,9 @@ def encode(documents: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
         for rb in batches:
             for c in chunks(rb.column("text")):
                 raw, shas, texts = [], [], []
+                old = not len(c.buf) or int(c.buf.max()) < OLD_BELOW
                 for i in range(len(c)):
-                    ids, decoded = bpe.encode(c.text(i).decode("utf-8", "replace"))
+                    ids, decoded = bpe.encode(c.text(i).decode("utf-8", "replace"), old)
                     raw.append(ids)
                     shas.append(hashlib.sha256(ids).hexdigest())
                     texts.append(hashlib.sha256(decoded.encode()).hexdigest())
