@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from hopgrid.llm.text import chunks
 
 END = "\x01"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 FOREVER = 1 << 60
 #: UTF-8 texts with all bytes below this one end before U+0540, where no two Unicode versions at hand differ.
 OLD_BELOW = 0xD5
@@ -69,7 +69,6 @@ class WordBpe:
         self.machine.make_automaton()
         splits = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.cut_special = regex.compile(f"({splits})") if splits else None
-        self.space = regex.compile(r"\p{White_Space}+")
         other, self.newer = self._newer_characters(path)
         letter, digit = rf"[\p{{L}}--[{other}]]", rf"[\p{{N}}--[{other}]]"
         #: The tokenizer file's own pattern, as it stands and with the characters that the versions differ on. Fixed value.
@@ -143,16 +142,21 @@ class WordBpe:
         """Ids of a word in the byte alphabet, END included."""
         n = len(word)
         last: list[int] = [-1] * (n + 1)
-        length = self.length
-        ends: list[list[int]] = [[] for _ in range(n + 1)]
-        for at, token in self.machine.iter(word):
-            ends[at + 1].append(token)
-        for i in range(1, n + 1):
-            for token in ends[i]:
-                j = i - length[token]
-                if (j == 0 or last[j] >= 0 and self.fits(last[j], token)) and self.stands(token):
-                    last[i] = token
-                    break
+        length, pair_ok, whole_ok = self.length, self.pair_ok.get, self.whole_ok.get
+        for at, token in self.machine.iter(word):  # by end, so all prefixes before are settled
+            if last[at + 1] >= 0:
+                continue
+            j = at + 1 - length[token]
+            if j:
+                before = last[j]
+                if before < 0:
+                    continue
+                ok = pair_ok(before << 32 | token)
+                if not (self.fits(before, token) if ok is None else ok):
+                    continue
+            ok = whole_ok(token)
+            if self.stands(token) if ok is None else ok:
+                last[at + 1] = token
         ids, i = [], n
         while i > 0:
             ids.append(last[i])
@@ -171,7 +175,7 @@ class WordBpe:
         return out
 
     def normal(self, text: str) -> str:
-        text = self.space.sub(" ", unicodedata.normalize("NFC", text))
+        text = unicodedata.normalize("NFC", text)  # white space stays: it only ever lies between pieces
         if not text.isascii():
             text = text.replace("Σ", "σ")
         return text.lower()  # letter by letter: no final form
