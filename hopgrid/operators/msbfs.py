@@ -12,11 +12,10 @@ new rows of each round.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import time
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopgrid.functions.bits import WORD_BITS, and_not, any_set, bit, popcount
@@ -85,7 +84,6 @@ def traverse(edges: DataFrame, ordered: DataFrame, n_sources: int, direction: st
     every = None
     out = [seeds.withColumn("hop", F.lit(0).cast("long"))]
     state, front, trace = seeds, seeds, []
-    n_edges = edges.count() if direction == "switch" else 0
     n_state = n_front = n_sources
     up = direction == "bottom_up"
     if direction != "top_down":
@@ -95,7 +93,7 @@ def traverse(edges: DataFrame, ordered: DataFrame, n_sources: int, direction: st
     while n_front and (max_hops is None or len(trace) < max_hops):
         began = time.perf_counter()
         if direction == "switch":
-            up = n_front * BETA > n_vertices if up else n_front * ALPHA > max(1, n_vertices - n_state) and n_edges > 0
+            up = n_front * BETA > n_vertices if up else n_front * ALPHA > max(1, n_vertices - n_state)
         if up:
             seen = every.join(state, ["batch", "v"], "left").join(full, "batch")
             open_rows = seen.filter(any_set([and_not(F.col(f"f{k}"), F.coalesce(F.col(w), F.lit(0).cast("long"))) for k, w in enumerate(names)]))
@@ -140,9 +138,7 @@ def eccentricity(counts: DataFrame) -> DataFrame:
 
 def frontier_sharing(t: Traversal) -> DataFrame:
     """(round, bits, n): how many (batch, vertex) rows a hop newly reaches with that many sources."""
-    bits: Column = F.lit(0)
-    for w in _names(t.words):
-        bits = bits + F.bit_count(F.col(w))
+    bits = popcount([F.col(w) for w in _names(t.words)])
     return t.discovered.filter("hop > 0").select(F.col("hop").alias("round"), bits.cast("long").alias("bits")).groupBy("round", "bits").agg(F.count(F.lit(1)).alias("n"))
 
 
