@@ -19,7 +19,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(_docs(spark, sf_dir))
+    return quality.verdicts(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hopgrid.llm import bpe, decontaminate, quality, queries, repeats, simhash, substrings, suffixes, text
@@ -120,6 +121,20 @@ def test_foreign_noise_is_rejected(spark):
     assert {r["doc_id"] for r in v.filter("not kept").collect()} == {1000, 1001, 1002}
 
 
+def test_bands_come_from_labelled_good_texts(spark):
+    """English has enough labels at sf0.01: bad texts go, also if copies of them are most of the corpus; the stage agrees."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").filter("lang = 'en'"), spark.read.parquet(f"{folder}/labels.parquet")
+    bad = docs.join(labels.filter("quality = 0"), "doc_id", "left_semi")
+    copies = bad.crossJoin(spark.range(60)).withColumn("doc_id", F.col("doc_id") + (F.col("id") + 1) * 1_000_000).select(docs.columns)
+    v = quality.verdicts(docs.union(copies), labels)
+    own = v.join(labels, "doc_id").filter("not base_failed")
+    assert own.filter("quality = 0").count() > 15 and own.filter("quality = 0 and kept").count() == 0
+    assert own.filter("quality = 1 and kept").count() >= quality.KEPT * own.filter("quality = 1").count()
+    assert v.filter("doc_id >= 1000000 and kept").count() == 0
+    assert rows(quality.keep_good(docs.union(copies), labels), "doc_id") == rows(v.filter("kept"), "doc_id")
+
+
 def test_pruned_model_still_scores(documents):
     models = quality.train(documents, most=2000)
     assert models and sum(len(m.keys) for m in models.values()) <= 5 * 2000
