@@ -6,6 +6,9 @@ syntax into tokens, pairs each target name with the literal it gets (`name = "x"
 `password = a`) and joined parts (`"x" + a`), and scores each literal by how sensitive its target's
 name is and how random the literal looks. Literals at or above THRESHOLD are added as kind `literal`.
 
+A line that opens with '#' or '//' is a comment and skipped. Further on in a line these are comment
+marks only after white space, and the comment's text is lexed for pairs as well.
+
 Byte-level screens (vectorised) decide which texts can hold a span at all; only these are lexed.
 A screen only passes a text on or not where no pattern could match, so it never loses a span.
 
@@ -45,7 +48,8 @@ _HEX = byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x66)
 
 TOKEN = re.compile(
     r"""
-    (?P<comment>(?:\#|//)[^\n]*)
+    (?P<comment>(?m:^)[^\S\n]*(?:\#|//)[^\n]*)
+  | (?P<mark>(?<=\s)(?:\#|//))
   | (?P<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)
   | (?P<op>:=|=>|==+|!=|<=|>=|[=:])
   | (?P<name>[A-Za-z_][A-Za-z0-9_.-]*)
@@ -84,9 +88,25 @@ def randomness(value: str) -> float:
     return min(1.5, bits / 2.5) + 0.5 * (classes > 1) + 0.5 * (n >= 12) + 0.5 * (n >= 20) - 1.5 * (" " in value)
 
 
+def tokens(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, token, start, end). A mark after white space opens a comment, whose own text is lexed up to the line's end, so that no string runs out of it."""
+    out, at, stop = [], 0, len(text)
+    while at < len(text):
+        m = TOKEN.match(text, at, stop)
+        if m.lastgroup == "mark" and stop == len(text):
+            line = text.find("\n", at)
+            stop = line if line >= 0 else stop
+        if m.lastgroup not in ("space", "comment"):
+            out.append((m.lastgroup, m.group(), m.start(), m.end()))
+        at = m.end()
+        if at == stop:
+            stop = len(text)
+    return out
+
+
 def pairs(text: str) -> list[tuple[str, str, int, int]]:
     """(target name, literal, start, end) of each assignment; constants are followed to their literal."""
-    toks = [(m.lastgroup, m.group(), m.start(), m.end()) for m in TOKEN.finditer(text) if m.lastgroup not in ("space", "comment")]
+    toks = tokens(text)
     constants: dict[str, list[tuple[str, int, int]]] = {}
     out = []
     for k in range(1, len(toks) - 1):

@@ -46,6 +46,23 @@ def test_literals(text, found):
     assert [text[s:e] for s, _, e in secrets.literal_spans(text)] == found
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ('der&&& ench### credentials = "q8Zr-77tyUxW"', ["q8Zr-77tyUxW"]),
+        ('see https://host.example/a then pwd = "q8Zr-77tyUxW"', ["q8Zr-77tyUxW"]),
+        ('x = 1  # private_key = "q8Zr-77tyUxW"', ["q8Zr-77tyUxW"]),
+        ('k = "Zx81!kqPw02LmNbv" // old\npwd = k', ["Zx81!kqPw02LmNbv"]),
+        ('x = 1 # a ` in it\npwd = "q8Zr-77tyUxW" # b `', ["q8Zr-77tyUxW"]),
+        ('x = 1 # " in it\n// pwd = "q8Zr-77tyUxW"', []),  # a whole line, as in test_literals
+        ("# " * 50_000 + 'pwd = "q8Zr-77tyUxW"', []),
+        ("x " + "# " * 50_000 + 'pwd = "q8Zr-77tyUxW"', ["q8Zr-77tyUxW"]),
+    ],
+)
+def test_marks_within_a_line(text, found):
+    assert [text[s:e] for s, _, e in secrets.literal_spans(text)] == found
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["tok", "token", "Password", "=", ":", " ", '"', "'", "ab12cd", "AKIA", "A1B2C3D4E5F6G7H8", "0a1b2c3d4e5f6a7b8c9d0e1f", "\n", "ſ", "+", "é"]), max_size=25))
 def test_screen_loses_nothing(parts):
