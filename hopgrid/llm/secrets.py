@@ -163,7 +163,7 @@ def render(spans: list[tuple[int, int, int]]) -> str:
 def screen(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Which texts may hold any span: a hex run, an access key, or a sensitive stem beside an assignment sign."""
 
-    def texts_at(at: np.ndarray) -> np.ndarray:
+    def texts_at(at: np.ndarray, offs: np.ndarray = offs) -> np.ndarray:
         out = np.zeros(len(offs) - 1, bool)
         out[np.searchsorted(offs, at, "right") - 1] = True
         return out
@@ -171,11 +171,12 @@ def screen(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     edge = np.diff(np.concatenate(([0], _HEX[buf].view(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     long_runs = [np.append(np.arange(s, e, 16), e - 1) for s, e in zip(start[end - start >= 24], end[end - start >= 24])]
-    low = LOWER[buf].tobytes()
+    parted = offs + np.arange(len(offs))  # a byte that no stem holds stands between texts
+    low = np.insert(LOWER[buf], offs[1:-1], 0).tobytes()
     keys = np.array([m.start() for m in re.finditer(rb"akia", low)], np.int64)
     stems = np.array([m.start() for m in STEMS.finditer(low)], np.int64)
     signs = np.flatnonzero((buf == 0x3D) | (buf == 0x3A))
-    return texts_at(np.concatenate([keys, *long_runs])) | texts_at(stems) & texts_at(signs)
+    return texts_at(np.concatenate([np.zeros(0, np.int64), *long_runs])) | texts_at(keys, parted) | texts_at(stems, parted) & texts_at(signs)
 
 
 def scan(documents: DataFrame) -> DataFrame:
