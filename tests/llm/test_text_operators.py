@@ -135,6 +135,19 @@ def test_bands_come_from_labelled_good_texts(spark):
     assert rows(quality.keep_good(docs.union(copies), labels), "doc_id") == rows(v.filter("kept"), "doc_id")
 
 
+def test_parts_score_as_the_whole(documents):
+    whole, parts = quality.train(documents), quality.train_parts(documents, most=3000)
+    assert len(parts.shared) > 3 and parts.names == set(whole)
+    rng = np.random.default_rng(3)
+    for lang, model in whole.items():
+        codes = rng.integers(0, 1 << 40, 500).astype(np.uint64)
+        for word in (b"the of ", b"aition", b"\n\n\n\nq", b"keitung ", "é à".encode()):
+            codes = np.append(codes, [np.uint64(int.from_bytes(word[k : k + 5], "big")) for k in range(max(1, len(word) - 4))])
+        seen = {int(r["gram"]) for r in quality.count_grams(documents.filter(documents["lang"] == lang)).limit(2000).collect()}
+        codes = np.append(codes, np.array(sorted(seen), np.uint64))
+        assert np.allclose(parts.score(lang, codes), model.score(codes), atol=1e-5)
+
+
 def test_pruned_model_still_scores(documents):
     models = quality.train(documents, most=2000)
     assert models and sum(len(m.keys) for m in models.values()) <= 5 * 2000
