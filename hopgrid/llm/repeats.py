@@ -10,16 +10,23 @@ a run, and the text under a run is its hull. Equal windows have equal anchors, s
    more occurrences is repeated as a whole. The others are compared with the hulls of the same anchor:
    hulls are fetched from their texts, dealt by anchor, and each anchor's set is solved exactly by
    the operator's own method (`solve`), in bounded batches.
-3. A set of over GROUP hulls isn't solved in one task: its windows are counted by 128-bit hash.
+3. A set of over GROUP hulls is split first: each hull is cut into runs by a longer gram (the next of
+   `Kind.grams`), so that equal windows fall into the same smaller set; equal pieces are pre-aggregated
+   again, and the pieces' sets are solved in the same way. The last gram is the window itself, so a
+   set ends as one class at the latest.
+
+Hulls count as equal by a 128-bit BLAKE2b of their units (words single-spaced); sets are solved on the
+units themselves. Anchors come from plain hashes, which only decide what is compared with what.
 
 Only anchors, counts and such hulls cross exchanges; a hot anchor is pre-aggregated before any. Texts
-move only where needed: a filter of fixed size (FILTER_BITS) over the wanted document keys keeps the
-others in place. A document is known by (doc_id, 64-bit hash of its text); rows that are equal in both
-have equal results.
+move only where needed: a filter over the wanted document keys, of 8 bits a key and 128 MB at most,
+keeps the others in place (beyond that more texts move than needed, with the same result). A document is known by (doc_id,
+64-bit hash of its text); rows that are equal in both have equal results.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,42 +36,55 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopgrid.llm.text import NOT_SPACE, Roller, bounds, chunks, mix, window_argmin, words
+from hopgrid.llm.text import NOT_SPACE, Roller, bounds, chunks, mix, single_spaced, span_hash, window_argmin, words
 from hopgrid.session import cut, store
 
 U = np.uint64
-FILTER_BITS = 1 << 26
+FILTER_BITS = (1 << 20, 1 << 30)
 GROUP = 4096
 SLICE = 1 << 20
-_BYTE, _WORD, _GRAM, _HULL, _OTHER = Roller(31), Roller(32), Roller(33), Roller(34), Roller(35)
+_BYTE, _GRAM = Roller(31), Roller(33)
+WORD_SEED = 32
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What a unit is, units a window, units a gram, windows that a task solves at a time. A unit takes `width` bytes in a shipped hull."""
+    """What a unit is, units a window, units a gram by level of splitting, windows that a task solves at a time."""
 
     words: bool
     size: int
-    gram: int
+    grams: tuple[int, ...]
     batch: int
 
-    @property
-    def width(self) -> int:
-        return 8 if self.words else 1
+
+class Units:
+    """The units of a chunk's texts: values to hash, how many a text has, and their bytes."""
+
+    def __init__(self, c, kind: Kind):
+        if kind.words:
+            starts, ends, self.counts = words(c.buf, c.offs, NOT_SPACE)
+            self.values = span_hash(c.buf, starts, ends, WORD_SEED)
+            self.buf, self.starts, self.ends = single_spaced(c.buf, starts, ends)
+        else:
+            self.values, self.counts, self.buf, self.starts = _BYTE.values[c.buf], np.diff(c.offs), c.buf, None
+
+    def bodies(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The bytes of units [first, last) of each span."""
+        if self.starts is not None and len(first):
+            first, last = self.starts[first], self.ends[last - 1]
+        raw = self.buf.tobytes()
+        return [raw[a:b] for a, b in zip(first.tolist(), last.tolist())]
 
 
-def units(c, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashed units, units per text, shippable units) of a chunk."""
-    if kind.words:
-        starts, ends, counts = words(c.buf, c.offs, NOT_SPACE)
-        v = _WORD.bytes_spans(c.buf, starts, ends)
-        return v, counts, v
-    return _BYTE.values[c.buf], np.diff(c.offs), c.buf
+def digests(bodies: list[bytes]) -> np.ndarray:
+    """128-bit hashes as rows of two signed integers."""
+    raw = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in bodies])
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
-def runs(v: np.ndarray, counts: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor hash, hull hash) of all runs; windows never cross texts."""
-    size, k = kind.size, kind.gram
+def runs(v: np.ndarray, counts: np.ndarray, kind: Kind, level: int = 0) -> tuple[np.ndarray, ...]:
+    """(text, first window, windows, anchor hash, first unit) of all runs; windows never cross texts."""
+    size, k = kind.size, kind.grams[level]
     w = size - k + 1
     edge = bounds(counts)
     out = []
@@ -85,12 +105,10 @@ def runs(v: np.ndarray, counts: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...
         new = np.concatenate(([True], (best[1:] != best[:-1]) | (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1])))
         head = np.flatnonzero(new)
         lo, anchor, n = start[head], best[head], np.diff(np.append(head, len(start)))
-        hull = _HULL.spans(_HULL.prefix(own), lo, lo + n - 1 + size)
-        hull = mix(hull ^ (((anchor - lo).astype(U) << U(32)) | n.astype(U)))
-        out.append((text[head], a + lo - edge[text[head]], n, h[anchor], hull))
+        out.append((text[head], a + lo - edge[text[head]], n, h[anchor], a + lo))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(U), z.astype(U)
+        return z, z, z, z.astype(U), z
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -99,18 +117,19 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
-    """(h, c, doc_id, th, lo, n) of every run of docs(doc_id, text, th)."""
+    """(h, c, e, doc_id, th, lo, n) of every run of docs(doc_id, text, th); c and e are its hull's digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for c in chunks(rb.column("text")):
-                v, counts, _ = units(c, kind)
-                text, lo, n, h, hull = runs(v, counts, kind)
-                row = pa.array(text + c.first)
-                cols = [pa.array(h.view(np.int64)), pa.array(hull.view(np.int64)), rb.column("doc_id").take(row), rb.column("th").take(row), pa.array(lo), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "doc_id", "th", "lo", "n"])
+            for chunk in chunks(rb.column("text")):
+                u = Units(chunk, kind)
+                text, lo, n, h, first = runs(u.values, u.counts, kind)
+                hull = digests(u.bodies(first, first + n - 1 + kind.size))
+                row = pa.array(text + chunk.first)
+                cols = [pa.array(h.view(np.int64)), pa.array(hull[:, 0]), pa.array(hull[:, 1]), rb.column("doc_id").take(row), rb.column("th").take(row), pa.array(lo), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "c", "e", "doc_id", "th", "lo", "n"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, f"h long, c long, doc_id {_id(docs)}, th long, lo long, n int")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, f"h long, c long, e long, doc_id {_id(docs)}, th long, lo long, n int")
 
 
 def _id(docs: DataFrame) -> str:
@@ -118,11 +137,16 @@ def _id(docs: DataFrame) -> str:
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
-    """Bitmap of FILTER_BITS over keys(th): no key of the set is missed; others mostly are, until the map fills up."""
-    spot = F.pmod(F.xxhash64("th"), F.lit(FILTER_BITS))
+    """Bitmap over keys(th), about 8 bits a key: no key of the set is missed; others mostly are."""
+    keys = keys.select("th").distinct()
+    least, most = FILTER_BITS
+    bits = least
+    while bits < min(most, 8 * keys.count()):
+        bits *= 2
+    spot = F.pmod(F.xxhash64("th"), F.lit(bits))
     cells = keys.select(F.shiftright(spot, 6).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)).cast("int")).alias("bit"))
     table = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[table["cell"].to_numpy()] = table["bits"].to_numpy()
     return out
 
@@ -137,7 +161,9 @@ def shipped(docs: DataFrame, wanted: DataFrame, rest: Callable | None = None, re
     The others are left out, or, with `rest` (chunk → columns by rest_schema), kept without a text and
     with those columns, which are null for shipped ones.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(key_filter(wanted))
+    cells = key_filter(wanted)
+    bits = 64 * len(cells)
+    shared = docs.sparkSession.sparkContext.broadcast(cells)
     names = [x.split()[0] for x in rest_schema.split(", ")] if rest_schema else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +179,7 @@ def shipped(docs: DataFrame, wanted: DataFrame, rest: Callable | None = None, re
                 out = pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "packed", *names])
                 yield out if rest else out.filter(pa.array(own))
 
-    spot = F.pmod(F.xxhash64("th"), F.lit(FILTER_BITS))
+    spot = F.pmod(F.xxhash64("th"), F.lit(bits))
     schema = f"doc_id {_id(docs)}, th long, packed binary" + (f", {rest_schema}" if rest_schema else "")
     return docs.select("doc_id", "th", spot.alias("spot"), "text").mapInArrow(run, schema)
 
@@ -165,33 +191,32 @@ def unpacked(column: pa.Array) -> pa.Array:
 
 
 def hulls(docs: DataFrame, classes: DataFrame, kind: Kind) -> DataFrame:
-    """(h, c, n_occ, n, hull) of classes(h, c, n_occ, n, doc_id, th, lo): the units under each class's first run."""
+    """(h, c, e, n_occ, n, hull) of classes(h, c, e, n_occ, n, doc_id, th, lo): the bytes of the units under each class's first run."""
     # One row per document: two rows that are equal in key have equal texts.
     texts = shipped(docs, classes.select("th"))
-    wants = classes.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "c", "n_occ", "n", "lo")).alias("wants"))
+    wants = classes.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "c", "e", "n_occ", "n", "lo")).alias("wants"))
     joined = wants.join(texts.withColumnRenamed("doc_id", "d2").withColumnRenamed("th", "t2"), wants["doc_id"].eqNullSafe(F.col("d2")) & (wants["th"] == F.col("t2")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             lists = rb.column("wants")
-            for c in chunks(unpacked(rb.column("packed"))):
-                _, counts, raw = units(c, kind)
-                edge = bounds(counts)
-                own = lists.slice(c.first, len(c))
-                flat, text = own.flatten(), np.repeat(np.arange(len(c)), np.array([len(x) for x in own]))
-                h, cc, n_occ, n, lo = (flat.field(k) for k in range(5))
-                a = edge[text] + lo.to_numpy()
-                b = a + n.to_numpy() - 1 + kind.size
-                raw = raw.view(np.uint8) if kind.words else raw
-                body = pa.array([raw[s:e].tobytes() for s, e in zip(a * kind.width, b * kind.width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([h, cc, n_occ, n, body], names=["h", "c", "n_occ", "n", "hull"])
+            for chunk in chunks(unpacked(rb.column("packed"))):
+                u = Units(chunk, kind)
+                own = lists.slice(chunk.first, len(chunk))
+                flat, text = own.flatten(), np.repeat(np.arange(len(chunk)), np.array([len(x) for x in own]))
+                h, c, e, n_occ, n, lo = (flat.field(k) for k in range(6))
+                first = bounds(u.counts)[text] + lo.to_numpy()
+                body = pa.array(u.bodies(first, first + n.to_numpy() - 1 + kind.size), pa.binary())
+                yield pa.RecordBatch.from_arrays([h, c, e, n_occ, n, body], names=["h", "c", "e", "n_occ", "n", "hull"])
 
-    found = joined.select("wants", "packed").mapInArrow(run, "h long, c long, n_occ long, n int, hull binary")
-    return found
+    return joined.select("wants", "packed").mapInArrow(run, HULLS)
 
 
+HULLS = "h long, c long, e long, n_occ long, n int, hull binary"
+RANGES = "h long, c long, e long, ranges array<int>"
+
 #: solve(groups, n_occ, windows, hulls) gives for every window of every hull whether it is repeated;
-#: groups number the hulls' anchors, hulls are the units one after another, windows how many each has.
+#: groups number the hulls' anchors, hulls are the bytes of their units, windows how many each has.
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], np.ndarray]
 
 
@@ -212,13 +237,13 @@ def _ranges(flags: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def solved(fetched: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
-    """(h, c, ranges) of hulls that have repeated windows; fetched comes with all hulls of an anchor."""
+    """(h, c, e, ranges) of hulls seen once that have repeated windows; fetched has all hulls of an anchor."""
 
     def out(rows: pa.Table) -> pa.RecordBatch:
         h, n_occ, n = rows["h"].to_numpy(), rows["n_occ"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
         _, group = np.unique(h, return_inverse=True)
         ranges = _ranges(solve(group, n_occ, n, rows["hull"].to_pylist()), n)
-        batch = pa.RecordBatch.from_arrays([rows["h"].combine_chunks(), rows["c"].combine_chunks(), ranges], names=["h", "c", "ranges"])
+        batch = pa.RecordBatch.from_arrays([*(rows[k].combine_chunks() for k in "hce"), ranges], names=["h", "c", "e", "ranges"])
         return batch.filter(pa.array((n_occ == 1) & (np.array([len(x) for x in ranges]) > 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,49 +271,60 @@ def solved(fetched: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
             yield out(pa.Table.from_batches(held))
 
     dealt = fetched.repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "h long, c long, ranges array<int>")
+    return dealt.mapInArrow(run, RANGES)
 
 
-def counted(fetched: DataFrame, kind: Kind) -> DataFrame:
-    """(h, c, ranges) like `solved`, for sets too large for a task: windows are counted by 128-bit hash."""
+def split(fetched: DataFrame, kind: Kind, level: int) -> DataFrame:
+    """The hulls cut into runs by the gram of a level: (h, c, e, n_occ) of the hull, the run's first window in it, and its own h, c, e, n, hull."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for h, c, n_occ, n, hull in zip(*(x.to_pylist() for x in rb.columns)):
-                raw = np.frombuffer(hull, U if kind.words else np.uint8)
-                v = raw if kind.words else _BYTE.values[raw]
-                at = np.arange(n)
-                a, b = (r.spans(r.prefix(v), at, at + kind.size).view(np.int64) for r in (_HULL, _OTHER))
-                one = np.ones(n, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(one * h), pa.array(one * c), pa.array(one * n_occ), pa.array(at.astype(np.int32)), pa.array(a), pa.array(b)], names=["h", "c", "n_occ", "at", "a", "b"])
-
-    each = fetched.select("h", "c", "n_occ", "n", "hull").mapInArrow(run, "h long, c long, n_occ long, at int, a long, b long")
-    twice = each.groupBy("a", "b").agg(F.sum("n_occ").alias("k")).filter("k > 1").select("a", "b")
-    hit = each.filter("n_occ = 1").join(twice, ["a", "b"])
-    ranges = F.flatten(F.transform(F.array_sort(F.collect_list("at")), lambda x: F.array(x, x + 1)))
-    return hit.groupBy("h", "c").agg(ranges.alias("ranges"))
+            for chunk in chunks(rb.column("hull")):
+                u = Units(chunk, kind)
+                own, lo, n, h, first = runs(u.values, u.counts, kind, level)
+                row = pa.array(own + chunk.first)
+                body = u.bodies(first, first + n - 1 + kind.size)
+                mark = digests(body)
+                up = [rb.column(k).take(row) for k in ("h", "c", "e", "n_occ")]
+                below = mix(up[0].to_numpy().view(U) ^ mix(h)).view(np.int64)
+                cols = [*up, pa.array(lo.astype(np.int32)), pa.array(below), pa.array(mark[:, 0]), pa.array(mark[:, 1]), pa.array(n.astype(np.int32)), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["h0", "c0", "e0", "n_occ", "at", "h", "c", "e", "n", "hull"])
+
+    return fetched.mapInArrow(run, "h0 long, c0 long, e0 long, n_occ long, at int, h long, c long, e long, n int, hull binary")
+
+
+def settled(fetched: DataFrame, kind: Kind, solve: Solve, level: int = 0) -> DataFrame:
+    """`solved` for sets of any size: those of over GROUP hulls are split by the next level's gram."""
+    if level + 1 == len(kind.grams):  # a set is one window, so one class
+        return solved(fetched, kind, solve)
+    large = cut(fetched.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > GROUP).select("h"))
+    if large.isEmpty():
+        return solved(fetched, kind, solve)
+    pieces = store(split(fetched.join(large, "h", "left_semi").select(*fetched.columns), kind, level + 1))
+    below = store(pieces.groupBy("h", "c", "e").agg(F.sum("n_occ").alias("n_occ"), F.first("n").alias("n"), F.first("hull").alias("hull")))
+    whole = below.filter("n_occ > 1").select("h", "c", "e", F.array(F.lit(0), F.col("n")).alias("ranges"))
+    found = settled(below, kind, solve, level + 1).union(whole)
+    back = pieces.filter("n_occ = 1").select("h0", "c0", "e0", "at", "h", "c", "e").join(found, ["h", "c", "e"])
+    own = back.groupBy(F.col("h0").alias("h"), F.col("c0").alias("c"), F.col("e0").alias("e")).agg(F.flatten(F.collect_list(F.transform("ranges", lambda x: x + F.col("at")))).alias("ranges"))
+    return solved(fetched.join(large, "h", "left_anti").select(*fetched.columns), kind, solve).union(own)
 
 
 def repeated(docs: DataFrame, kind: Kind, solve: Solve) -> DataFrame:
     """(doc_id, th, spans): [first, end) unit spans, flat, that repeated windows cover, for documents that have any."""
-    runs_ = anchors(docs, kind)
-    per_anchor = runs_.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("k > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
+    runs_ = store(anchors(docs, kind))
+    uniform = (F.min("c") == F.max("c")) & (F.min("e") == F.max("e"))
+    per_anchor = runs_.groupBy("h").agg(F.count(F.lit(1)).alias("k"), (~uniform).alias("mixed")).filter("k > 1").select("h", "mixed")
     per_anchor = store(per_anchor)  # a join of two plain exchanges, whose hot partitions Spark can split
     hit = store(runs_.join(per_anchor, "h"))
-    classes = hit.filter("mixed").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n_occ"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("r"))
-    classes = store(classes.select("h", "c", "n_occ", "n", "r.doc_id", "r.th", "r.lo"))
-    fetched = store(hulls(docs, classes, kind))
-    large = cut(fetched.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > GROUP).select("h"))
-    if large.isEmpty():
-        ranges = solved(fetched, kind, solve)
-    else:
-        ranges = solved(fetched.join(large, "h", "left_anti"), kind, solve).union(counted(fetched.join(large, "h", "left_semi"), kind))
+    classes = hit.filter("mixed").groupBy("h", "c", "e").agg(F.count(F.lit(1)).alias("n_occ"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th", "lo")).alias("r"))
+    classes = store(classes.select("h", "c", "e", "n_occ", "n", "r.doc_id", "r.th", "r.lo"))
+    ranges = settled(store(hulls(docs, classes, kind)), kind, solve)
     span = lambda a, b: F.struct((F.col("lo") + a).alias("a"), (F.col("lo") + b - 1 + kind.size).alias("b"))
     zero = F.lit(0).cast("long")
     plain = hit.filter("not mixed").select("doc_id", "th", span(zero, F.col("n")).alias("s"))
-    more = hit.filter("mixed").join(classes.filter("n_occ > 1").select("h", "c"), ["h", "c"]).select("doc_id", "th", span(zero, F.col("n")).alias("s"))
+    more = hit.filter("mixed").join(classes.filter("n_occ > 1").select("h", "c", "e"), ["h", "c", "e"]).select("doc_id", "th", span(zero, F.col("n")).alias("s"))
     pairs = F.expr("transform(sequence(0, cast(size(ranges) div 2 as int) - 1), k -> struct(ranges[2 * k] as x, ranges[2 * k + 1] as y))")
-    fine = ranges.join(classes.filter("n_occ = 1"), ["h", "c"]).select("doc_id", "th", "lo", F.explode(pairs).alias("p")).select("doc_id", "th", span(F.col("p.x"), F.col("p.y")).alias("s"))
+    fine = ranges.join(classes.filter("n_occ = 1"), ["h", "c", "e"]).select("doc_id", "th", "lo", F.explode(pairs).alias("p")).select("doc_id", "th", span(F.col("p.x"), F.col("p.y")).alias("s"))
     marks = plain.union(more).union(fine).groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans"))
     return store(marks)
 

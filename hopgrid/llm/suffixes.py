@@ -24,7 +24,7 @@ from hopgrid.llm import repeats
 from hopgrid.llm.repeats import Kind, covered
 from hopgrid.llm.text import bounds
 
-BYTES = Kind(words=False, size=200, gram=32, batch=150_000)
+BYTES = Kind(words=False, size=200, grams=(32, 96, 160, 200), batch=150_000)
 DIGIT = 8
 SHALLOW = 3  # 8-byte characters
 

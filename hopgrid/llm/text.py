@@ -11,7 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 
 # Freed batches go back to the system instead of a pool of the worker process.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -19,7 +20,6 @@ pa.set_memory_pool(pa.system_memory_pool())
 CHUNK_BYTES = 1 << 19
 #: Bytes of an Arrow batch that Spark hands to a task.
 BATCH_BYTES = 4 << 20
-BLOCK_BYTES = 1 << 18
 U = np.uint64
 
 
@@ -32,12 +32,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: Spans of up to so many bytes are hashed together, 8 bytes a step; longer ones one by one.
+LONGEST = 64
+_GOLDEN = U(0x9E3779B97F4A7C15)
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of byte spans: every 8 bytes go through a full mix that depends on those before.
+
+    Spans of up to 8 bytes and equal length never collide. Where equality decides a result, callers
+    compare the real bytes as well.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(U) * _GOLDEN + U(seed))
+    if not len(starts):
+        return out
+    lanes = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]).data, strides=(1,))
+    live = np.flatnonzero(size <= LONGEST)
+    at, left = starts[live], size[live]
+    while True:
+        own = np.flatnonzero(left > 0)
+        if not len(own):
+            break
+        live, at, left = live[own], at[own], left[own]
+        lane = lanes[at]
+        short = left < 8
+        lane[short] &= (U(1) << (left[short].astype(U) * U(8))) - U(1)
+        out[live] = mix((out[live] ^ lane) * _GOLDEN + U(1))
+        at, left = at + 8, left - 8
+    for i in np.flatnonzero(size > LONGEST).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed)
+    return out
+
+
 def _table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
 
 
 class Roller:
-    """Polynomial hash modulo 2^64 of spans; each byte counts as a random 64-bit value."""
+    """Polynomial hash modulo 2^64 of spans of 64-bit values, for finding candidates only.
+
+    Long periodic spans can collide, so equal hashes are never taken for equal spans.
+    """
 
     def __init__(self, seed: int):
         self.values = _table(seed)
@@ -64,17 +100,6 @@ class Roller:
         _, down = self._powers(len(prefix))
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
 
-    def bytes_spans(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of disjoint ascending byte spans, block by block."""
-        out = np.empty(len(starts), U)
-        i = 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, "right")))
-            lo, hi = int(starts[i]), int(ends[j - 1])
-            out[i:j] = self.spans(self.prefix(self.values[buf[lo:hi]]), starts[i:j] - lo, ends[i:j] - lo)
-            i = j
-        return out
-
 
 @dataclass
 class Chunk:
@@ -113,6 +138,11 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The DataFrame with columns c0, c1 and so on, so that no name of the caller's, of whatever kind, meets one of an operator's."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def byte_class(keep) -> np.ndarray:
     return np.array([bool(keep(b)) for b in range(256)])
 
@@ -137,6 +167,20 @@ def words(buf: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.diff(np.searchsorted(starts, offs))
 
 
+def single_spaced(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, starts, ends): the words with one blank after each and nothing else."""
+    size = ends - starts + 1
+    to = np.concatenate(([0], np.cumsum(size)))
+    out = np.full(int(to[-1]), 0x20, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[to[1:] - 1] = False
+    step = np.zeros(len(buf) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    out[inside] = buf[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
+    return out, to[:-1], to[1:] - 1
+
+
 def bounds(counts: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(counts)))
 
