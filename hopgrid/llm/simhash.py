@@ -1,20 +1,22 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 Fingerprints are made per document in one map stage; equal ones are pre-aggregated, so copies count
-once from there on. Two fingerprints at distance 2 or less agree on two of four 16-bit blocks, so each
-is dealt to six buckets (block pair, 32 bits). In a bucket they are sorted by Gray rank, where
-neighbours differ in few bits, and every FAN of them form a node that holds the bits they share (a
-masked pattern); nodes form nodes in turn. A search adds up differences on the bits that each level
-adds and drops a whole group once the sum passes the limit.
-
-A bucket of more than BUCKET fingerprints isn't searched in one task: its members go another exact
-way. Each emits itself and its 64 one-bit neighbours; two fingerprints at distance 2 or less share
-one of these values, and at most 65 can share the same. Tasks emit star links per bucket, not pairs;
-components come from star contraction over the links, with the smallest document id per component.
+once from there on. Of limit + 1 blocks of bits, two fingerprints within the limit agree on one at
+least, so each fingerprint is dealt once per block, with that block turned to its top bits. Each such
+table is range-partitioned by Gray rank, in which neighbours differ in few bits. A task builds one
+index over thousands of neighbouring fingerprints: every FAN of them form a node that holds the bits
+they share (a masked pattern), and nodes form nodes in turn. A search adds up differences on the bits
+that each level adds and drops a whole group once the sum passes the limit.
+
+All fingerprints that agree on a block must meet in a task. Where these are more than BUCKET, they
+are dealt again by blocks of their other bits, in the same way, until few enough agree on all bits so
+fixed. Tasks emit star links, not pairs; components come from star contraction over the links, with
+the smallest document id per component.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; ids may
 repeat (each row is answered); a null id is never a component's id unless all of its ids are null;
-extra columns are ignored by `components` and kept by `keep_one`.
+extra columns, whatever their names, are ignored by `components` and kept by `keep_one`, which of
+rows equal in id and text keeps the one whose other columns come first as JSON.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from hopgrid.llm.text import LOWER, bounds, chunks
+from hopgrid.llm.text import LOWER, bounds, chunks, numbered
 from hopgrid.operators.components import min_labels
 from hopgrid.session import cut
 
@@ -37,7 +39,11 @@ SEED = 42
 LIMIT = 2
 FAN = 8
 BUCKET = 4096
-PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+#: Fingerprints that one index is built over, up to the end of a bucket.
+SPAN = 20_000
+#: Tables of one level of dealing at most: with the limit of 2, few thousand fingerprints at most agree on all
+#: bits that are fixed by then. Wider limits fix fewer (31 bits at 4, 24 at 6), and what agrees on these meets in a task.
+TABLES = 400
 U = np.uint64
 
 
@@ -87,43 +93,40 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """The hierarchy over fingerprints sorted by (bucket, Gray rank). levels[0] are the fingerprints."""
+    """The hierarchy over fingerprints sorted by (tree, Gray rank). levels[0] are the fingerprints."""
 
-    def __init__(self, bucket: np.ndarray, fps: np.ndarray):
-        order = np.lexsort((gray_rank(fps), bucket))
-        self.fps, bucket = fps[order], bucket[order]
+    def __init__(self, tree: np.ndarray, fps: np.ndarray, limit: int = LIMIT):
+        order = np.lexsort((gray_rank(fps), tree))
+        self.fps, tree, self.limit = fps[order], tree[order], limit
+        self.tree = tree
         self.levels = [(self.fps, np.full(len(fps), ~U(0)), np.arange(len(fps) + 1))]
-        roots = int((np.diff(bucket) != 0).sum()) + 1
-        while len(bucket) > roots:
+        roots = int((np.diff(tree) != 0).sum()) + 1
+        while len(tree) > roots:
             pattern, mask, _ = self.levels[-1]
-            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            within = np.arange(len(bucket)) - np.repeat(first, np.diff(np.append(first, len(bucket))))
+            first = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
+            within = np.arange(len(tree)) - np.repeat(first, np.diff(np.append(first, len(tree))))
             heads = np.flatnonzero(within % FAN == 0)
             all_, any_ = np.bitwise_and.reduceat(pattern, heads), np.bitwise_or.reduceat(pattern, heads)
             shared = np.bitwise_and.reduceat(mask, heads) & ~(all_ ^ any_)
-            self.levels.append((all_, shared, np.append(heads, len(bucket))))
-            bucket = bucket[heads]
-        sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket)))
-        assert (sizes == 1).all()
+            self.levels.append((all_, shared, np.append(heads, len(tree))))
+            tree = tree[heads]
         # The root above each fingerprint.
-        root = np.arange(len(bucket))
+        root = np.arange(len(tree))
         for _, _, heads in self.levels[:0:-1]:
             root = np.repeat(root, np.diff(heads))
         self.root = root
 
-    def links(self, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs a < b within LIMIT differing bits, of the same bucket."""
-        a_out, b_out, q, step = [], [], 0, len(self.fps)
-        size = np.bincount(self.root)[self.root]
-        load = bounds(size)
-        while q < step:
-            to = max(q + 1, int(np.searchsorted(load, load[q] + most, "right")) - 1)
-            who, node = np.arange(q, to), self.root[q:to]
+    def links(self, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs a < b within the limit, of the same tree; `most` queries go down at a time."""
+        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for q in range(0, len(self.fps), most):
+            who = np.arange(q, min(len(self.fps), q + most))
+            node = self.root[who]
             pattern, mask, _ = self.levels[-1]
             diff = np.bitwise_count((self.fps[who] ^ pattern[node]) & mask[node]).astype(np.int64)
             above = mask
             for k in range(len(self.levels) - 1, 0, -1):
-                near = diff <= LIMIT
+                near = diff <= self.limit
                 who, node, diff = who[near], node[near], diff[near]
                 heads = self.levels[k][2]
                 n = heads[node + 1] - heads[node]
@@ -133,14 +136,13 @@ class GrayIndex:
                 pattern, above, _ = self.levels[k - 1]
                 diff = diff + np.bitwise_count((self.fps[who] ^ pattern[child]) & above[child] & ~seen)
                 node = child
-            ok = (diff <= LIMIT) & (who < node)
+            ok = (diff <= self.limit) & (who < node)
             a_out.append(who[ok])
             b_out.append(node[ok])
-            q = to
         return np.concatenate(a_out), np.concatenate(b_out)
 
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
-        """Links from each linked fingerprint to the first of its group: the same groups with fewer rows."""
+        """Index pairs from each linked fingerprint to the first of its group: the same groups with fewer rows."""
         a, b = self.links()
         label = np.arange(len(self.fps))
         while len(a):
@@ -152,76 +154,121 @@ class GrayIndex:
             if (label == before).all():
                 break
         own = np.flatnonzero(label != np.arange(len(label)))
-        return self.fps[own], self.fps[label[own]]
+        return own, label[own]
+
+
+def blocks(mask: int, limit: int) -> list[int]:
+    """The bits outside a mask in limit + 1 blocks of almost equal size, as masks."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    edge = [len(free) * k // (limit + 1) for k in range(limit + 2)]
+    return [sum(1 << b for b in free[i:j]) for i, j in zip(edge, edge[1:])]
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Star links of buckets that come sorted by their key; whole buckets are gathered up to a few thousand rows."""
-    held: list[np.ndarray] = []
+def turned(fps: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The fingerprints turned left by so many bits (0 to 63) each."""
+    by = by.astype(U)
+    return (fps << by) | (fps >> ((U(64) - by) & U(63)) & np.where(by == 0, U(0), ~U(0)))
+
+
+def _search(limit: int, turns: list[int] | None):
+    """Star links of rows (m, key, fp) sorted by (m, key). With `turns` for each table m, one tree spans all keys of a table; else each key has its own."""
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
-        _, bucket, n = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
-        rows, bucket = rows[n[bucket] > 1], bucket[n[bucket] > 1]
-        a, b = GrayIndex(bucket, rows[:, 1].copy().view(U)).stars() if len(rows) else (np.zeros(0, U), np.zeros(0, U))
+        m, fps = rows[:, 0], rows[:, 2].copy().view(U)
+        if turns:
+            by = np.array(turns)[m]
+            index = GrayIndex(m, turned(fps, by), limit)
+            a, b = index.stars()
+            back = (64 - np.array(turns)) % 64
+            a, b = (turned(index.fps[x], back[index.tree[x]]) for x in (a, b))
+        else:
+            index = GrayIndex(np.unique(rows[:, :2], axis=0, return_inverse=True)[1].ravel(), fps, limit)
+            a, b = (index.fps[x] for x in index.stars())
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
 
-    for rb in batches:
-        rows = np.stack([rb.column(0).to_numpy(), rb.column(1).to_numpy()], 1)
-        if held and len(rows) and sum(map(len, held)) > 20_000:
-            k = int(np.searchsorted(rows[:, 0], held[-1][-1, 0], "right"))  # the open bucket goes on this far
-            held.append(rows[:k])
-            if k < len(rows):
-                yield out(np.concatenate(held))
-                held = []
-            rows = rows[k:]
-        if len(rows):
-            held.append(rows)
-    if held:
-        yield out(np.concatenate(held))
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(src, dst) over distinct fingerprints fp: enough links to connect all pairs at distance 2 or less."""
-    block = lambda b: F.shiftrightunsigned("fp", 16 * b).bitwiseAND(F.lit(0xFFFF))
-    keys = [F.shiftleft(F.lit(i).cast("long"), 32).bitwiseOR(F.shiftleft(block(a), 16)).bitwiseOR(block(b)) for i, (a, b) in enumerate(PAIRS)]
-    dealt = fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    sizes = cut(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    small, large = sizes.filter(F.col("n") <= BUCKET).select("key"), sizes.filter(F.col("n") > BUCKET).select("key")
-    found = dealt.join(small, "key").repartition("key").sortWithinPartitions("key").mapInArrow(_search, "src long, dst long")
-    if large.isEmpty():
-        return found
-    dense = dealt.join(large, "key", "left_semi").select("fp").distinct()
-    near = F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), i) for i in range(64)])
-    values = dense.select("fp", F.explode(F.transform(near, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    least = values.withColumn("low", F.min("fp").over(Window.partitionBy("value")))  # 65 rows a value at most
-    return found.union(least.filter("fp <> low").select(F.col("fp").alias("src"), F.col("low").alias("dst")).distinct())
-
-
-def groups(prints: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for rb in batches:
+            rows = np.stack([x.to_numpy() for x in rb.columns], 1)
+            if held and len(rows) and sum(map(len, held)) > SPAN:
+                other = np.flatnonzero((rows[:, :2] != held[-1][-1, :2]).any(1))  # the open bucket goes on up to here
+                k = int(other[0]) if len(other) else len(rows)
+                held.append(rows[:k])
+                if k < len(rows):
+                    yield out(np.concatenate(held))
+                    held = []
+                rows = rows[k:]
+            if len(rows):
+                held.append(rows)
+        if held:
+            yield out(np.concatenate(held))
+
+    return run
+
+
+def _gray(x: Column) -> Column:
+    for s in (1, 2, 4, 8, 16, 32):
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, s))
+    return x
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(src, dst) over distinct fingerprints fp: enough links to connect all pairs at `limit` or fewer differing bits."""
+    masks, level = blocks(0, limit), 0
+    lows = [(m & -m).bit_length() - 1 for m in masks]
+    rank = lambda m, low: _gray(F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(m))), low))
+    tables = [F.struct(F.lit(k).cast("long").alias("m"), rank(m, low).alias("key"), "fp") for k, (m, low) in enumerate(zip(masks, lows))]
+    dealt, found = fps.select(F.inline(F.array(*tables))), None
+    while True:
+        sizes = cut(dealt.groupBy("m", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        last = all(64 - m.bit_count() <= 13 for m in masks) or len(masks) * (limit + 1) > TABLES
+        large = sizes.filter(F.col("n") > BUCKET).select("m", "key")
+        small = sizes if last else sizes.filter(F.col("n") <= BUCKET)
+        met = dealt.join(small.select("m", "key"), ["m", "key"]).select("m", "key", "fp").repartitionByRange("m", "key").sortWithinPartitions("m", "key")
+        turns = [(64 - m.bit_length()) for m in masks] if level == 0 else None
+        own = met.mapInArrow(_search(limit, turns), "src long, dst long")
+        found = own if found is None else found.union(own)
+        if last or large.isEmpty():
+            return found
+        masks = [m | b for m in masks for b in blocks(m, limit)]
+        child = F.explode(F.sequence(F.col("m") * (limit + 1), F.col("m") * (limit + 1) + limit))
+        again = dealt.join(large, ["m", "key"], "left_semi").select("fp", child.alias("m"))
+        bits = F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), (F.col("m") + 1).cast("int"))
+        dealt, level = cut(again.select("m", F.col("fp").bitwiseAND(bits).alias("key"), "fp")), level + 1
+
+
+def groups(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(fp, component_id, first): component of each distinct fingerprint; first is its first (doc_id, text_hash)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     distinct = cut(prints.groupBy("fp").agg(first.alias("first")))
-    labels = min_labels(cut(links(distinct.select("fp")).distinct())).withColumnRenamed("v", "fp")
+    labels = min_labels(cut(links(distinct.select("fp"), limit).distinct())).withColumnRenamed("v", "fp")
     labelled = cut(distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     best = labelled.groupBy("label").agg(F.min("first").alias("first"))
     return labelled.select("fp", "label").join(best, "label").select("fp", F.col("first.doc_id").alias("component_id"), "first")
 
 
-def components(documents: DataFrame) -> DataFrame:
+def components(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     prints = cut(with_fingerprint(documents))
-    joined = prints.join(groups(prints).select("fp", "component_id"), "fp")
+    joined = prints.join(groups(prints, limit).select("fp", "component_id"), "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns.
 
-    The choice is made on (doc_id, hash of the text); of equal rows one stays. Texts cross one exchange.
+    The choice is made on (doc_id, hash of the text); of rows equal in both one stays. Texts cross one exchange.
     """
+    own, names = numbered(documents), documents.columns
+    id_, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
     prints = cut(with_fingerprint(documents))
-    chosen = groups(prints).select("first").distinct().select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    keyed = documents.withColumn("__own", F.xxhash64("text"))
-    hit = keyed.join(cut(chosen), keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["__own"] == F.col("__hash")), "left_semi")
-    one = hit.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy("__own")))
-    return one.filter("__n = 1").select(*documents.columns)
+    chosen = cut(groups(prints, limit).select("first").distinct().select("first.doc_id", "first.text_hash"))
+    keyed = own.withColumn("own_hash", F.xxhash64(text))
+    hit = keyed.join(chosen, F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_semi")
+    rest = F.to_json(F.struct(F.lit(0), *[c for c in own.columns if c not in (id_, text)]))
+    one = hit.withColumn("copy", F.row_number().over(Window.partitionBy(id_, "own_hash").orderBy(rest)))
+    return one.filter("copy = 1").select(*own.columns).toDF(*names)
