@@ -2,9 +2,11 @@
 
 Fixed patterns give the base spans (assign, access, hex). The lexer reads source and configuration
 syntax into tokens, pairs each target name with the literal it gets (`name = "x"`, `"name": 'x'`,
-`name: x`, `name := x`, `NAME=x`), follows names that were given a constant before (`a = "x"` ...
-`password = a`) and joined parts (`"x" + a`), and scores each literal by how sensitive its target's
-name is and how random the literal looks. Literals at or above THRESHOLD are added as kind `literal`.
+`name: x`, `name := x`, `NAME=x`, `<name>x</name>`, `name="name" value="x"`), follows names that were
+given a constant before (`a = "x"` ... `password = a`) and joined parts (`"x" + a`), and scores each
+literal by how random it looks and how sensitive the names are that it ends up in. Constants are kept
+as references, not copied, so the work is linear in the text. Literals at or above THRESHOLD are added
+as kind `literal`. An apostrophe within a word opens no string.
 
 A line that opens with '#' or '//' is a comment and skipped. Further on in a line these are comment
 marks only after white space, and the comment's text is lexed for pairs as well.
@@ -23,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +63,12 @@ TOKEN = re.compile(
     """,
     re.X | re.S,
 )
+#: Mark-up that gives a name a literal. Every part ends at the next mark, so scanning stays linear.
+ELEMENT = re.compile(r"<(?P<tag>[A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*)?>(?P<value>[^<>\n]+)</(?P=tag)>")
+NAMED = re.compile(r"""\b(?:name|key)=(?P<q>["'])(?P<name>[^"'<>\n]+)(?P=q)\s{1,8}value=(?P<p>["'])(?P<value>[^"'<>\n]+)(?P=p)""")
 ASSIGNS = {"=", ":", ":=", "=>"}
 BARE_VALUE = re.compile(r"[A-Za-z0-9+/_.=~-]+")
+PREFIXES = {"b", "f", "r", "u", "br", "rb", "fr", "rf"}
 #: Words that stand before a name without being one.
 KEYWORDS = {"export", "const", "let", "var", "final", "static", "public", "private", "set", "string", "str", "val", "char"}
 
@@ -72,9 +79,9 @@ def name_parts(name: str) -> list[str]:
 
 
 def sensitivity(name: str) -> float:
-    """Weight of a target name: its best part, or pair of neighbouring parts joined (api + key)."""
+    """Weight of a target name: its best part, or pair of neighbouring parts joined (api + key, pass + word)."""
     parts = name_parts(name)
-    joined = parts + [a + b for a, b in zip(parts, parts[1:])]
+    joined = parts + [a + b for a, b in zip(parts, parts[1:]) if b == "key" or a == "pass"]
     return max([NAME_WEIGHTS.get(p, 0.0) for p in joined], default=0.0)
 
 
@@ -89,10 +96,29 @@ def randomness(value: str) -> float:
 
 
 def tokens(text: str) -> list[tuple[str, str, int, int]]:
-    """(kind, token, start, end). A mark after white space opens a comment, whose own text is lexed up to the line's end, so that no string runs out of it."""
+    """(kind, token, start, end). A mark after white space opens a comment, whose own text is lexed up to the line's end, so that no string runs out of it.
+
+    An apostrophe right behind a letter or digit opens no string, unless these are a string's prefix
+    (b, f, r, u). Where a quote finds no end, no later one of its kind on that line does either
+    (escapes pair up alike from both), so none is tried again and lexing stays linear.
+    """
     out, at, stop = [], 0, len(text)
+    dead = dict.fromkeys("\"'`", 0)
     while at < len(text):
+        c = text[at]
+        if c in dead:
+            prefix = c == "'" and bool(out) and out[-1][3] == at and out[-1][1].lower() in PREFIXES
+            if at < dead[c] or c == "'" and at and (text[at - 1].isalnum() or text[at - 1] == "_") and not prefix:
+                out.append(("other", c, at, at + 1))
+                at += 1
+                continue
         m = TOKEN.match(text, at, stop)
+        if c in dead:
+            if m.lastgroup != "string":
+                line = stop if c == "`" else text.find("\n", at, stop)
+                dead[c] = line if line >= 0 else stop
+            elif prefix:
+                out.pop()
         if m.lastgroup == "mark" and stop == len(text):
             line = text.find("\n", at)
             stop = line if line >= 0 else stop
@@ -104,46 +130,59 @@ def tokens(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(target name, literal, start, end) of each assignment; constants are followed to their literal."""
+@dataclass
+class Assignment:
+    """A target name, the literals (text, start, end) it gets, and the assignments whose constants it gets."""
+
+    target: str
+    literals: list[tuple[str, int, int]]
+    constants: list[int]
+
+
+def assignments(text: str) -> list[Assignment]:
+    """All assignments in order; a name stands for what it was last given."""
     toks = tokens(text)
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    out = []
+    latest: dict[str, int] = {}
+    out: list[Assignment] = []
     for k in range(1, len(toks) - 1):
         kind, op, _, _ = toks[k]
         if kind != "op" or op not in ASSIGNS:
             continue
-        tk, target, _, end = toks[k - 1]
+        tk, target, _, _ = toks[k - 1]
         if tk == "string":
             target = target[1:-1]
         elif tk != "name" or target in KEYWORDS:
             continue
-        got: list[tuple[str, int, int]] = []
+        got = Assignment(target, [], [])
         j = k + 1
         while j < len(toks):
             vk, value, s, e = toks[j]
             if vk == "string":
-                got.append((value[1:-1], s + 1, e - 1))
-            elif vk == "name" and value in constants and not got:
-                got += constants[value]
-            elif vk == "name" and value in constants:
-                got += constants[value]
+                got.literals.append((value[1:-1], s + 1, e - 1))
+            elif vk == "name" and value in latest:
+                got.constants.append(latest[value])
             elif vk in ("name", "bare"):
                 m = BARE_VALUE.match(text, s)
                 if m and not (j + 1 < len(toks) and toks[j + 1][1] == "("):
-                    got.append((m.group(), s, m.end()))
+                    got.literals.append((m.group(), s, m.end()))
             else:
                 break
             if j + 2 < len(toks) and toks[j + 1][1] == "+":
                 j += 2
             else:
                 break
-        if got:
-            constants[target] = got
-            out += [(target, v, s, e) for v, s, e in got]
+        if got.literals or got.constants:
+            latest[target] = len(out)
+            out.append(got)
     return out
 
 
+def elements(text: str) -> list[Assignment]:
+    """Literals that mark-up gives a name: an element's text, or a value beside a name."""
+    out = [Assignment(m["tag"], [(m["value"], m.start("value"), m.end("value"))], []) for m in ELEMENT.finditer(text)]
+    return out + [Assignment(m["name"], [(m["value"], m.start("value"), m.end("value"))], []) for m in NAMED.finditer(text)]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
@@ -152,8 +191,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the literals that sensitive names are given."""
-    return sorted({(s, 3, e) for name, value, s, e in pairs(text) if (w := sensitivity(name)) and w + randomness(value) >= THRESHOLD})
+    """(start, kind, end) of the literals that sensitive names are given, by themselves or through constants."""
+    steps = assignments(text)
+    weight = [sensitivity(a.target) for a in steps]
+    for k in range(len(steps) - 1, -1, -1):  # constants come before those that use them
+        for c in steps[k].constants:
+            weight[c] = max(weight[c], weight[k])
+    named = elements(text) if "</" in text or "value" in text else []
+    given = zip(steps + named, weight + [sensitivity(a.target) for a in named])
+    return sorted({(s, 3, e) for a, w in given if w for value, s, e in a.literals if w + randomness(value) >= THRESHOLD})
 
 
 def render(spans: list[tuple[int, int, int]]) -> str:
@@ -161,7 +207,7 @@ def render(spans: list[tuple[int, int, int]]) -> str:
 
 
 def screen(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Which texts may hold any span: a hex run, an access key, or a sensitive stem beside an assignment sign."""
+    """Which texts may hold any span: a hex run, an access key, or a sensitive stem beside an assignment sign or mark-up."""
 
     def texts_at(at: np.ndarray, offs: np.ndarray = offs) -> np.ndarray:
         out = np.zeros(len(offs) - 1, bool)
@@ -175,7 +221,7 @@ def screen(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     low = np.insert(LOWER[buf], offs[1:-1], 0).tobytes()
     keys = np.array([m.start() for m in re.finditer(rb"akia", low)], np.int64)
     stems = np.array([m.start() for m in STEMS.finditer(low)], np.int64)
-    signs = np.flatnonzero((buf == 0x3D) | (buf == 0x3A))
+    signs = np.flatnonzero((buf == 0x3D) | (buf == 0x3A) | (buf == 0x3C))
     return texts_at(np.concatenate([np.zeros(0, np.int64), *long_runs])) | texts_at(keys, parted) | texts_at(stems, parted) & texts_at(signs)
 
 
