@@ -81,5 +81,5 @@ def _before(a: Column, b: Column) -> Column:
 
 
 def neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs of conversations 2k (chosen) and 2k + 1 (rejected)."""
-    return format_pairs(conversations, F.floor(F.col("conv_id") / 2).cast("long"), F.pmod(F.col("conv_id"), F.lit(2)) == 0)
+    """Pairs of conversations 2k (chosen) and 2k + 1 (rejected), for any 64-bit k, below zero too."""
+    return format_pairs(conversations, F.shiftright(F.col("conv_id").cast("long"), 1), F.col("conv_id").cast("long").bitwiseAND(F.lit(1)) == 0)

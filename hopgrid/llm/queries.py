@@ -106,7 +106,7 @@ from d left join pos using (r)
 """
 
 OP7_SQL = """
-with t as (select conv_id//2 as pair_id, conv_id%2=0 as c, replace(coalesce(role,''),'<|im_','<| im_') as role, replace(coalesce(text,''),'<|im_','<| im_') as text,
+with t as (select conv_id>>1 as pair_id, conv_id&1=0 as c, replace(coalesce(role,''),'<|im_','<| im_') as role, replace(coalesce(text,''),'<|im_','<| im_') as text,
   row_number() over (partition by conv_id order by turn nulls first, coalesce(role,''), coalesce(text,'')) as k from conversations where conv_id is not null),
 sizes as (select pair_id, count(*) filter (c) as nc, count(*) filter (not c) as nr from t group by 1),
 bad as (select a.pair_id, min(a.k) as k from t a join t b on a.pair_id=b.pair_id and a.k=b.k and a.c and not b.c where a.role<>b.role or a.text<>b.text group by 1),
