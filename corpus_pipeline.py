@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each stage's result as
 Parquet in the shared folder and reads it again as the next one's documents, so that a lost executor
-costs at most one stage.
+costs at most one stage. What a stage stored besides, and the documents that it read, are deleted once
+its result is written; the last stage's documents stay for as long as its result is read.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hopgrid.llm import bpe, decontaminate, pii, quality, simhash
 from hopgrid.llm.text import small_batches
-from hopgrid.session import shared_dir
+from hopgrid.session import delete, scratch, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,9 +26,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+#: Differing bits of near copies: wider than the operator's own contract, as copies with a few words changed differ in more.
+NEAR_BITS = 6
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, NEAR_BITS)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.schema(out.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

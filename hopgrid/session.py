@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +32,15 @@ def local_session(app: str = "hopgrid", cpus: int | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Read from the session; a local one only where none is set (tests)."""
+    """The folder all executors share, read from the session. Only a local master can go without the setting (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(set_dir)
         return set_dir
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="hopgrid-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -47,17 +51,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_stored: list[str] = []
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write `df` as a compressed table in the shared folder and read it back: smaller on disk than `cut` for wide or many rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables that `store` wrote, once nothing reads them any more."""
-    for table in tables:
-        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are stored within, at the end: results must have been written by then."""
+    before = len(_stored)
+    try:
+        yield
+    finally:
+        for path in _stored[before:]:
+            delete(spark, path)
+        del _stored[before:]
