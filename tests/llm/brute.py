@@ -88,7 +88,7 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(docs):
+def components(docs, limit=2):
     """(doc_id, fingerprint, component_id) per document."""
     f = np.array([fingerprint(t) for _, t in docs], np.uint64)
     up = list(range(len(f)))
@@ -100,7 +100,7 @@ def components(docs):
         return x
 
     for i in range(len(f)):
-        for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= 2).tolist():
+        for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= limit).tolist():
             a, b = root(i), root(j)
             up[max(a, b)] = min(a, b)
     ids = {}
@@ -135,3 +135,61 @@ def removed_bytes(docs, size=200):
 def removed_words(docs, size=35):
     split = [WORD.findall(t or "") for _, t in docs]
     return [(d, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))) for (d, _), w, gone in zip(docs, split, repeats(split, size))]
+
+
+def field_spans(field, text, trim=":.,;()\"'"):
+    """(kind, start, end) of the model's spans: a line at a time, one word after another, no screen. Bytes of words are turned to weights one by one."""
+    from hopgrid.llm import pii
+
+    out, base = [], personal(text)
+    for line in re.finditer("[^\n]+", text):
+        found = [(m.start() + line.start(), m[0]) for m in WORD.finditer(line[0])]
+        if not found:
+            continue
+        ids = []
+        for _, w in found:
+            raw = np.frombuffer(w.encode(), np.uint8)
+            ids.append([int(x[0]) for x in field.ids(pii.word_keys(raw, np.array([0]), np.array([len(raw)])))])
+        score, back = None, []
+        for t in range(len(found)):
+            em = np.zeros(len(pii.LABELS))
+            for (k, d), w in field.weights.items():
+                em += w[ids[t + d][k] if 0 <= t + d < len(found) else 0]
+            em[0] += pii.BIAS
+            if score is None:
+                score = em
+            else:
+                step = score[:, None] + field.trans
+                back.append(step.argmax(0))
+                score = step.max(0) + em
+        path = [int(score.argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        path = path[::-1]
+        t = 0
+        while t < len(path):
+            e = t
+            while e + 1 < len(path) and path[e + 1] == path[t]:
+                e += 1
+            kind = {1: "name", 2: "local", 3: "id"}.get(path[t])
+            words = [w for _, w in found[t : e + 1]]
+            if kind and not (kind == "name" and (len(words) > 5 or len(set(words)) < len(words))):
+                a, b = found[t][0], found[e][0] + len(found[e][1])
+                while a < b and text[a] in trim and text[a] != "(":
+                    a += 1
+                while b > a and text[b - 1] in trim:
+                    b -= 1
+                if b - a >= 4 and not any(x < b and a < y for _, x, y in base):
+                    out.append((kind, a, b))
+            t = e + 1
+    return out
+
+
+def redacted(text, spans):
+    order = ("email", "ip", "card", "phone", "name", "local", "id")
+    out, done = "", 0
+    for k, s, e in sorted(spans, key=lambda x: (x[1], order.index(x[0]), x[2])):
+        if s >= done:
+            out += text[done:s] + f"[{k.upper()}]"
+        done = max(done, e)
+    return out + text[done:]

@@ -5,14 +5,17 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hopgrid.llm import decontaminate, pii, preference, quality, queries, warc
+from hopgrid.llm import decontaminate, pii, preference, queries, warc
 from hopgrid.llm.text import chunks
 from tests.llm import brute
 from tests.llm.conftest import SF, pairs, rows
+from tests.llm.held_out import lines
+from tests.llm.test_text_operators import plain_verdicts
 from tests.oracle import same
 
 EVIL = "x" * 600 + "WARC/1.1\r\nContent-Length: 10\r\n\r\nabcdefghij\r\n\r\n" * 20
@@ -93,23 +96,38 @@ def test_preference_edges(spark):
 
 
 def plain_pipeline(spark, docs):
-    """The stages one after another on Python lists; perplexity verdicts and model spans come from their tested parts."""
-    kept = {(r["doc_id"]) for r in quality.verdicts(docs).filter("kept").collect()}
+    """The stages one after another on Python lists."""
+    kept = {d for d, sure in plain_verdicts(spark, SF) if sure}
     rows_ = [(d, t) for d, t in pairs(docs) if d in kept]
-    rows_ = [(d, t) for (d, t), (_, _, c) in zip(rows_, brute.components(rows_)) if d == c]
+    rows_ = [(d, t) for (d, t), (_, _, c) in zip(rows_, brute.components(rows_, corpus_pipeline.NEAR_BITS)) if d == c]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows_ = [x for x, y in zip(rows_, brute.contamination(rows_, items)) if not y[-1]]
-    import pyarrow as pa
-
-    texts = [t for _, t in rows_]
-    for c in chunks(pa.array(texts)):
-        for i, _, every in pii.find_spans(c):
-            texts[c.first + i] = pii.redacted(texts[c.first + i], every)
+    texts = [brute.redacted(t, brute.personal(t) + brute.field_spans(pii.field(), t)) for _, t in rows_]
     t = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
     ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
     return sorted(((d, len(x), brute.sha(np.array(x, "<u4").tobytes()), brute.sha(t.decode(x, skip_special_tokens=False))) for (d, _), x in zip(rows_, ids)), key=repr)
 
 
+def test_field_spans_match_plain():
+    for _, text, _ in lines():
+        (c,) = chunks(pa.array([text + "\n" + text[::-1]]))
+        got = [(pii.KINDS[k], s, e) for _, _, every in pii.find_spans(c) for s, k, e in every if k > 3]
+        assert sorted(got) == sorted(brute.field_spans(pii.field(), text + "\n" + text[::-1]))
+
+
+def test_run_leaves_one_folder(spark, tmp_path):
+    """The stored tables of the stages are deleted; the last stage's documents stay."""
+    import os
+
+    from hopgrid.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:").replace("///", "/")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, SF)
+    new = {x for x in set(os.listdir(folder)) - before if x.startswith(("table-", "pipeline-"))}
+    assert len(new) == 1 and new.pop().endswith("pii")
+
+
 def test_pipeline(spark, documents):
     out = corpus_pipeline.run(spark, SF)
     assert rows(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == plain_pipeline(spark, documents)
