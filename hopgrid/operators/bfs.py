@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopgrid.operators.msbfs import ALPHA, BETA
+from hopgrid.operators.normalize import degree, with_degrees
 from hopgrid.session import cut
 
 
@@ -23,30 +25,45 @@ def _bottom_up(frontier: DataFrame, seen: DataFrame, edges: DataFrame, universe:
 def bfs_distances(edges: DataFrame, sources: DataFrame, direction: str = "top_down", components: DataFrame | None = None) -> DataFrame:
     """(src, v, d) for every v reachable from sources(v), the source at 0.
 
-    direction: top_down, bottom_up, or switch, which goes bottom-up while the frontier holds over a
-    24th of the unseen pairs. Bottom-up rounds need components(v, comp) to know the unseen pairs.
+    direction: top_down, bottom_up, or switch, which turns bottom-up when the frontier's edges exceed
+    a 14th of the unexplored ones, and back when the frontier is below a 24th of the vertices, both
+    summed over sources. Bottom-up rounds need components(v, comp) to know the unseen pairs, which are
+    put together for such a round only.
     """
+    if direction not in ("top_down", "bottom_up", "switch"):
+        raise ValueError(f"unknown direction: {direction}")
+    edges = edges if "deg" in edges.columns or direction == "top_down" else cut(with_degrees(edges))
     hops = [cut(sources.select(F.col("v").alias("s"), "v").distinct().withColumn("d", F.lit(0).cast("long")))]
-    total = None
-    universe = None
+    n_all = m_open = 0
+    universe = own = None
     if direction != "top_down":
-        own = sources.select("v").join(components, "v").select(F.col("v").alias("s"), "comp")
-        universe = cut(own.join(components, "comp").select("s", "v"))
-        total = universe.count()
-    seen, n_seen, n_front = hops[0], 0, hops[0].count()
+        own = cut(components.join(degree(edges), "v"))
+        sizes = own.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("m"))
+        starts = cut(sources.select("v").distinct().join(components, "v").select(F.col("v").alias("s"), "comp"))
+        universe = starts.join(components, "comp").select("s", "v")
+        n_all, m_open = starts.join(sizes, "comp").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    seen, up, n_front = hops[0], False, hops[0].count()
     while n_front:
-        n_seen += n_front
-        up = direction == "bottom_up" or direction == "switch" and n_front * 24 > total - n_seen
         front = hops[-1].select("s", "v")
-        new = _bottom_up(front, seen, edges, universe) if up else _top_down(front, seen, edges)
+        if direction == "switch":
+            m_front = front.join(own, "v").agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
+            m_open -= m_front
+            up = n_front * BETA >= n_all if up else m_front * ALPHA > max(0, m_open)
+        up = up or direction == "bottom_up"
+        pairs = edges.select("src", "dst")
+        new = _bottom_up(front, _all(hops), pairs, universe) if up else _top_down(front, seen, pairs)
         hops.append(cut(new.withColumn("d", F.lit(len(hops)).cast("long"))))
         n_front = hops[-1].count()
         # Undirected edges: what a frontier reaches is in the two hops before it or new.
-        seen = hops[-1].union(hops[-2]) if direction == "top_down" else seen.union(hops[-1])
+        seen = hops[-1].union(hops[-2])
+    return _all(hops).select(F.col("s").alias("src"), "v", "d")
+
+
+def _all(hops: list[DataFrame]) -> DataFrame:
     out = hops[0]
     for h in hops[1:]:
         out = out.union(h)
-    return out.select(F.col("s").alias("src"), "v", "d")
+    return out
 
 
 def hop_counts(distances: DataFrame) -> DataFrame:

@@ -23,8 +23,12 @@ def fits(edges: DataFrame, most: int = MAX_EDGES) -> bool:
     return edges.count() <= most
 
 
-def hop_counts(edges: DataFrame, sources: DataFrame, tasks: int | None = None) -> DataFrame:
-    """(src, hop, n) for sources(v). Raises if the graph is over the bound."""
+def hop_counts(edges: DataFrame, sources: DataFrame, tasks: int | None = None, mode: str | None = None, floor: float | None = None) -> DataFrame:
+    """(src, hop, n) for sources(v). Raises if the graph is over the bound.
+
+    With a mode and a floor, sources(v, n_vertices, n_all) are given up once their score can't reach
+    the floor any more, and have no rows.
+    """
     if not fits(edges):
         raise ValueError(f"more than {MAX_EDGES} edges; use the DataFrame traversal")
     spark = edges.sparkSession
@@ -36,9 +40,11 @@ def hop_counts(edges: DataFrame, sources: DataFrame, tasks: int | None = None) -
         for rb in batches:
             own = np.searchsorted(ids, rb.column(0).to_numpy())
             for k in range(0, len(own), 64):
-                yield _levels(ids, starts, nbr, own[k : k + 64])
+                sizes = [rb.column(c).to_numpy()[k : k + 64] for c in (1, 2)] if floor is not None else None
+                yield _levels(ids, starts, nbr, own[k : k + 64], sizes, mode, floor)
 
-    return sources.select("v").repartition(tasks, F.xxhash64("v")).mapInArrow(run, SCHEMA)
+    columns = ["v"] if floor is None else ["v", "n_vertices", "n_all"]
+    return sources.select(*columns).repartition(tasks, F.xxhash64("v")).mapInArrow(run, SCHEMA)
 
 
 def _csr(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,8 +76,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame(table, "v long, comp long")
 
 
-def _levels(ids: np.ndarray, starts: np.ndarray, nbr: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+def _best(mode: str, sizes: list[np.ndarray], reach: np.ndarray, dist: np.ndarray, hop: int) -> np.ndarray:
+    """The score that a source can still get: all it hasn't reached lies one hop further at least."""
+    n, n_all = sizes
+    least = np.maximum(dist + (n - 1 - reach) * (hop + 1), 1)
+    return (n - 2) ** 2 / (np.maximum(n - 1, 1) * least) if mode == "component" else (n - 1) ** 2 / (np.maximum(n_all - 1, 1) * least)
+
+
+def _levels(ids: np.ndarray, starts: np.ndarray, nbr: np.ndarray, own: np.ndarray, sizes: list[np.ndarray] | None = None, mode: str | None = None, floor: float | None = None) -> pa.RecordBatch:
     n = len(ids)
+    reach, dist, dropped = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), bool)
     front = np.zeros(n, np.uint64)
     np.bitwise_or.at(front, own, np.uint64(1) << np.arange(len(own), dtype=np.uint64))
     seen, rows, hop = front.copy(), [], 0
@@ -85,5 +99,13 @@ def _levels(ids: np.ndarray, starts: np.ndarray, nbr: np.ndarray, own: np.ndarra
         bits = np.unpackbits(hit.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[: len(own)]
         got = np.flatnonzero(bits)
         rows.append((ids[own[got]], np.full(len(got), hop, np.int64), bits[got]))
+        if sizes is not None:
+            reach, dist = reach + bits, dist + bits * hop
+            out = (bits > 0) & ~dropped & (_best(mode, sizes, reach, dist, hop) < floor * (1 - 1e-9))
+            if out.any():
+                dropped |= out
+                front &= ~np.bitwise_or.reduce(np.uint64(1) << np.flatnonzero(out).astype(np.uint64))
+    if dropped.any():
+        rows = [tuple(c[~np.isin(r[0], ids[own[dropped]])] for c in r) for r in rows]
     cols = [np.concatenate(c) if rows else np.zeros(0, np.int64) for c in (zip(*rows) if rows else ((), (), ()))]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["src", "hop", "n"])

@@ -14,6 +14,7 @@ from hopgrid.sources.results import result_string
 from hopgrid.sources.workload import read_workload
 
 STRATEGIES = ("auto", "kernel", "bitmask", "bottom_up", "switch", "scalar", "scalar_bottom_up", "scalar_switch", "pruned")
+MODES = ("component", "global")
 
 
 class Graph:
@@ -36,6 +37,11 @@ class Graph:
     def stats(self) -> DataFrame:
         return cut(components.component_stats(self.edges, self.components))
 
+    @cached_property
+    def layout(self) -> DataFrame:
+        """The edges as the DataFrame searches join them, bucketed by source."""
+        return normalize.layout(self.edges)
+
     @cached_property
     def n_vertices(self) -> int:
         return self.edges.select("src").distinct().count()
@@ -45,10 +51,12 @@ class Graph:
 
     def traversal(self, limit: int | None = None, direction: str = "top_down", words: int | None = None) -> msbfs.Traversal:
         s = cut(self.sources(limit))
-        return msbfs.traverse(self.edges, msbfs.ordered_sources(s), s.count(), direction, words, components=self.components if direction != "top_down" else None)
+        return msbfs.traverse(self.layout, msbfs.ordered_sources(s), s.count(), direction, words, components=self.components if direction != "top_down" else None)
 
     def hop_counts(self, strategy: str = "auto", limit: int | None = None) -> DataFrame:
         """(src, hop, n). auto: the vectorised kernel within its size bound, else bit masks."""
+        if strategy not in STRATEGIES or strategy == "pruned":
+            raise ValueError(f"no such strategy for hop counts: {strategy}; known are {', '.join(s for s in STRATEGIES if s != 'pruned')}")
         if strategy == "auto":
             strategy = "kernel" if self.small else "bitmask"
         if strategy == "kernel":
@@ -56,21 +64,25 @@ class Graph:
         if strategy.startswith("scalar"):
             direction = strategy.partition("_")[2] or "top_down"
             comps = self.components if direction != "top_down" else None
-            return bfs.hop_counts(bfs.bfs_distances(self.edges, self.sources(limit), direction, comps))
+            return bfs.hop_counts(bfs.bfs_distances(self.layout, self.sources(limit), direction, comps))
         return msbfs.hop_counts(self.traversal(limit, {"bitmask": "top_down"}.get(strategy, strategy)))
 
     def reach(self, strategy: str = "auto", limit: int | None = None) -> DataFrame:
         return msbfs.reach_dist(self.hop_counts(strategy, limit))
 
     def closeness(self, mode: str = "component", strategy: str = "auto", limit: int | None = None, n: int | None = None) -> DataFrame:
+        if mode not in MODES:
+            raise ValueError(f"unknown mode: {mode}; known are {', '.join(MODES)}")
         reach = self.reach(strategy, limit)
         if mode == "component":
             return topk.score_component(reach, self.components, self.stats)
         return topk.score_global(reach, n or self.n_vertices)
 
     def top_k(self, k: int = topk.K, mode: str = "component", strategy: str = "auto", limit: int | None = None, n: int | None = None) -> DataFrame:
+        if mode not in MODES:
+            raise ValueError(f"unknown mode: {mode}; known are {', '.join(MODES)}")
         if strategy == "pruned":
-            return topk.pruned_top_k(self.edges, self.components, self.stats, k, mode)
+            return topk.pruned_top_k(self.edges if self.small else self.layout, self.components, self.stats, k, mode, None if limit is None else self.sources(limit), n or self.n_vertices, small=self.small)
         return topk.top_k(self.closeness(mode, strategy, limit, n), k)
 
 
