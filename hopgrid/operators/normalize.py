@@ -34,7 +34,7 @@ def with_degrees(edges: DataFrame) -> DataFrame:
 
 
 def layout(edges: DataFrame) -> DataFrame:
-    """`with_degrees` as a table in the shared folder, bucketed and sorted by src: a join on src neither shuffles nor sorts these edges again, in any round."""
+    """`with_degrees` as a table in the shared folder, bucketed and sorted by src: a join on src shuffles these edges in no round."""
     spark = edges.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), edges.count() // BUCKET_EDGES)
     name = f"edges_{uuid.uuid4().hex}"

@@ -60,3 +60,8 @@ def order_neighbourhood(edges: DataFrame) -> DataFrame:
     hub = near.union(own).groupBy("v").agg(F.max(F.struct("d", -F.col("hub"))).alias("h"))
     s = hub.join(d, "v").select("v", "degree", F.col("h.d").alias("hub_degree"), (-F.col("h")["col2"]).alias("hub"))
     return with_position(s, F.col("hub_degree").desc(), F.col("hub").asc(), F.col("degree").desc(), F.col("v").asc()).select("v", "position")
+
+
+def neighbourhood_batches(edges: DataFrame, batch_bits: int = 64) -> DataFrame:
+    """(v, position, batch): batches filled in the order of `order_neighbourhood`, so that one batch takes whole neighbourhoods."""
+    return with_batches(order_neighbourhood(edges), batch_bits)

@@ -18,6 +18,20 @@ def round_table(spark: SparkSession, runs: list[list[dict]]) -> DataFrame:
     return df.groupBy("round").agg(F.count(F.lit(1)).alias("runs"), F.sum("rows").alias("rows"), F.sum("duration_ms").alias("duration_ms"))
 
 
+def trace_lines(spark: SparkSession, traversal, n_vertices: int, n_edges: int, traversed: int, strategy: str) -> DataFrame:
+    """One row a metric and round of a traversal, with the run's figures beside it.
+
+    Metrics: TROUNDS (value: rounds), TDUR (ms of a round) and TROWS (new rows of a round). Figures:
+    vertices, directed edges and traversed edges, sources a row (`batch_bits`) in `width` words of 64 bits.
+    """
+    total = sum(r["duration_ms"] for r in traversal.trace)
+    head = (n_vertices, n_edges, traversed, 64 * traversal.words, strategy, traversal.words, total)
+    rows = [("TROUNDS", 0, "", len(traversal.trace), *head)]
+    for r in traversal.trace:
+        rows += [("TDUR", r["round"], r["direction"], r["duration_ms"], *head), ("TROWS", r["round"], r["direction"], r["rows"], *head)]
+    return spark.createDataFrame(rows, "metric string, round int, direction string, value long, n_vertices long, n_edges long, traversed_edges long, batch_bits int, strategy string, width int, total_ms long")
+
+
 def run_summary(spark: SparkSession, durations: list[tuple[str, int]]) -> DataFrame:
     """(strategy, runs, mean_ms, min_ms, factor): the mean is an integer; factor is against the best strategy."""
     df = spark.createDataFrame(durations, "strategy string, ms long").groupBy("strategy").agg(

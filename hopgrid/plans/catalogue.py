@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from hopgrid.operators import bfs, components, msbfs, normalize, orderings, topk, trace
 from hopgrid.plans.engine import Graph
-from hopgrid.session import cut
-from hopgrid.sources.edges import from_frame
-from hopgrid.sources.results import result_string
+from hopgrid.session import cut, shared_dir
+from hopgrid.sources.edges import from_frame, line_count, read_edge_csv, write_edge_text
+from hopgrid.sources.results import result_string, write_scores
+from hopgrid.sources.workload import read_workload
 
 OFFSET = 10_000_000
 
@@ -79,7 +81,9 @@ def _topk_sql(name: str, mode: str) -> str:
 
 
 SAMPLE = 40
-FEW = 8
+#: Batches of 64 sources by id, and what a batch newly reaches at a hop; rounds end with one that finds nothing.
+PLACE = ", place as (select v, (row_number() over (order by v) - 1)//64 as batch from deg), held as (select batch, d, r.v, count(*) as bits from r join place on place.v=r.s where d>0 group by batch, d, r.v) "
+ROUNDS = ", rounds as (select d as round, count(*) as rows from held group by d union all select max(d)+1, 0 from held) "
 _KEY = "md5('1987:' || cast(v as varchar))"
 
 
@@ -105,9 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         on("component_stats" + tail, g)(lambda g: g.stats)
     on("connected_components_stars", "part_part_q45")(lambda g: components.connected_components(g.edges))
     on("component_summary", "part_part_q45")(lambda g: components.component_summary(g.stats))
-    on("bfs_distances", "part_part_q48")(lambda g: bfs.bfs_distances(g.edges, g.sources(FEW)))
-    on("bfs_distances_bottom_up", "part_part_q48")(lambda g: bfs.bfs_distances(g.edges, g.sources(FEW), "bottom_up", g.components))
-    on("bfs_distances_switch", "part_part_q48")(lambda g: bfs.bfs_distances(g.edges, g.sources(FEW), "switch", g.components))
+    on("bfs_distances", "part_part_q48")(lambda g: bfs.bfs_distances(g.edges, g.sources()))
+    on("bfs_distances_bottom_up", "part_part_q48")(lambda g: bfs.bfs_distances(g.edges, g.sources(), "bottom_up", g.components))
+    on("bfs_distances_switch", "part_part_q48")(lambda g: bfs.bfs_distances(g.edges, g.sources(), "switch", g.components))
     on("hop_counts", "supp_part_q49")(lambda g: g.hop_counts())
     on("hop_counts_bitmask", "cust_part_q50")(lambda g: g.hop_counts("bitmask"))
     on("bfs_reach_dist", "part_part_q45")(lambda g: g.reach())
@@ -132,6 +136,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     on("eccentricity", "part_part_q45")(lambda g: msbfs.eccentricity(g.hop_counts()))
     on("diameter", "part_part_q45")(lambda g: msbfs.eccentricity(g.hop_counts()).agg(F.max("ecc").alias("diameter")))
     on("traversed_edges", "cust_part_q50")(lambda g: trace.traversed_edges(g.sources(), g.components, g.stats))
+    on("order_neighbourhood_batches", "cust_part_q50")(lambda g: orderings.neighbourhood_batches(g.edges))
+    on("hop_counts_bottom_up", "part_part_q45")(lambda g: g.hop_counts("bottom_up"))
+    on("hop_counts_switch", "part_part_q45")(lambda g: g.hop_counts("switch"))
+    on("frontier_sharing_part_part_q48", "part_part_q48")(lambda g: msbfs.frontier_sharing(g.traversal(words=1)))
+    on("edge_sharing_part_part_q48", "part_part_q48")(lambda g: msbfs.edge_sharing(g.traversal(words=1), g.edges))
+    on("trace_rounds", "supp_part_sparse")(lambda g: trace.round_table(g.spark, [g.traversal(words=1).trace]).select("round", "runs", "rows"))
+    on("trace_lines", "supp_part_sparse")(_trace_lines)
+    on("scores_sink", "supp_part_q49")(_scores_sink)
+    on("topk_string_trailing", "supp_part_q49")(lambda g: result_string(g.top_k(), sep=" ", trailing=True))
+    q["text_source"] = _text_source
+    q["text_source_rest"] = lambda spark, sf_dir: _text_source(spark, sf_dir, "|1970-01-01|x")
+    q["line_count"] = _line_count
+    q["workload_source"] = _workload_source
+    q["run_summary"] = lambda spark, sf_dir: trace.run_summary(spark, [(f"s{r['n_regionkey']}", 7 * r["n_nationkey"] + 1) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_regionkey", "n_nationkey").collect()])
     on("frontier_sharing", "nation_region")(lambda g: msbfs.frontier_sharing(g.traversal()))
     on("edge_sharing", "nation_region")(lambda g: msbfs.edge_sharing(g.traversal(), g.edges))
     on("batch_usage", "supp_part_sparse")(lambda g: msbfs.batch_usage(g.traversal(words=1)))
@@ -141,6 +159,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return q
 
 
+def _file(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+
+
+def _text_source(spark: SparkSession, sf_dir: str, rest: str = "") -> DataFrame:
+    """A graph written as lines of text, read again and normalised."""
+    path = _file(spark)
+    write_edge_text(raw_edges(spark, sf_dir, "cust_part_q50"), path, rest=rest)
+    return normalize.normalize(read_edge_csv(spark, path, header=False, extra_columns=bool(rest)))
+
+
+def _line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark)
+    write_edge_text(raw_edges(spark, sf_dir, "supp_mod"), path)
+    return spark.createDataFrame([(line_count(spark, path),)], "n long")
+
+
+def _workload_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workload of one line per nation."""
+    path = _file(spark)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    nation.select(F.format_string("  %d /data/%d.csv %d|%d|%d ", "n_nationkey", "n_regionkey", "n_regionkey", "n_nationkey", "n_regionkey")).write.text(path)
+    return read_workload(spark, path)
+
+
+def _scores_sink(g: Graph) -> DataFrame:
+    """Scores written as delimited text and read again."""
+    path = _file(g.spark)
+    write_scores(g.closeness(), path)
+    return g.spark.read.option("sep", "|").option("header", True).schema("v long, reach long, dist_sum long, closeness double").csv(path)
+
+
+def _trace_lines(g: Graph) -> DataFrame:
+    """The lines of a traversal but for its durations."""
+    t = g.traversal(words=1)
+    traversed = trace.traversed_edges(g.sources(), g.components, g.stats).first()[0]
+    lines = trace.trace_lines(g.spark, t, g.n_vertices, g.edges.count(), traversed, "bitmask")
+    return lines.filter("metric <> 'TDUR'").drop("total_ms")
+
+
 def _round_trip(g: Graph) -> DataFrame:
     """Edges encoded to internal ids and decoded again."""
     ids = cut(normalize.dense_ids(g.edges))
@@ -179,24 +237,47 @@ select v, row_number() over (order by d desc, hub, degree desc, v) - 1 as positi
         "eccentricity": _base("part_part_q45") + "select v, ecc from p",
         "diameter": _base("part_part_q45") + "select max(ecc) as diameter from p",
         "traversed_edges": _base("cust_part_q50") + "select cast(sum(n_edges) as bigint) as n_edges from comps join stats using (comp)",
+        "hop_counts_bottom_up": _base("part_part_q45") + "select s as src, d as hop, count(*) as n from r where d>0 group by s,d",
+        "hop_counts_switch": _base("part_part_q45") + "select s as src, d as hop, count(*) as n from r where d>0 group by s,d",
+        "frontier_sharing_part_part_q48": _base("part_part_q48") + PLACE + "select d as round, bits, count(*) as n from held group by d, bits",
+        "edge_sharing_part_part_q48": _base("part_part_q48")
+        + PLACE
+        + "select d as round, bits, count(*) as n from (select batch, y.d, e.a, e.b, count(*) as bits from r x join e on x.v=e.a join r y on y.s=x.s and y.v=e.b and y.d=x.d+1 join place on place.v=x.s group by batch, y.d, e.a, e.b) group by d, bits",
+        "trace_rounds": _base("supp_part_sparse") + PLACE + ROUNDS + "select cast(round as integer) as round, cast(1 as bigint) as runs, rows from rounds",
+        "trace_lines": _base("supp_part_sparse")
+        + PLACE
+        + ROUNDS
+        + """, head as (select (select count(*) from p) as n_vertices, (select count(*) from e) as n_edges, (select cast(sum(n_edges) as bigint) from comps join stats using (comp)) as traversed_edges,
+  64 as batch_bits, 'bitmask' as strategy, 1 as width)
+select 'TROWS' as metric, cast(round as integer) as round, 'down' as direction, rows as value, head.* from rounds, head
+union all select 'TROUNDS', 0, '', (select count(*) from rounds), head.* from head""",
+        "scores_sink": _base("supp_part_q49") + "select v, reach, dist_sum, component as closeness from score",
+        "topk_string_trailing": _base("supp_part_q49") + "select string_agg(cast(v as varchar), ' ' order by component desc, v) || ' ' as result from (select * from score order by component desc, v limit 7)",
+        "text_source": edges("cust_part_q50"),
+        "text_source_rest": edges("cust_part_q50"),
+        "line_count": f"select count(*) as n from ({GRAPH_SQL['supp_mod']}) t(a,b) where a is not null and b is not null",
+        "workload_source": "select cast(n_nationkey as bigint) as num_nodes, '/data/' || n_regionkey || '.csv' as dataset, n_regionkey || '|' || n_nationkey || '|' || n_regionkey as reference from nation",
+        "run_summary": """with t as (select 's' || n_regionkey as strategy, count(*) as runs, cast(floor(sum(7*n_nationkey+1) / count(*)) as bigint) as mean_ms, cast(min(7*n_nationkey+1) as bigint) as min_ms from nation group by 1)
+select *, cast(mean_ms as double) / cast((select min(mean_ms) from t) as double) as factor from t""",
         "frontier_sharing": _base("nation_region") + "select d as round, bits, count(*) as n from (select d, v, count(*) as bits from r where d>0 group by d, v) group by d, bits",
         "edge_sharing": _base("nation_region")
         + "select d as round, bits, count(*) as n from (select y.d, e.a, e.b, count(*) as bits from r x join e on x.v=e.a join r y on y.s=x.s and y.v=e.b and y.d=x.d+1 group by y.d, e.a, e.b) group by d, bits",
         "batch_usage": _base("supp_part_sparse")
-        + """, place as (select v, (row_number() over (order by v) - 1)//64 as batch from deg), held as (select batch, d, r.v, count(*) as bits from r join place on place.v=r.s where d>0 group by batch, d, r.v)
-select batch, max(d) as steps, cast(sum(bits) as double)/cast(count(*) as double) as mean_bits from held group by batch""",
+        + PLACE
+        + """select batch, max(d) as steps, cast(sum(bits) as double)/cast(count(*) as double) as mean_bits from held group by batch""",
         "induced_subgraph": _base("supp_part_q49") + "select a as src, b as dst from e where a in (select v from deg where degree>=3) and b in (select v from deg where degree>=3)",
         "distance_identity": _base("part_part_q48") + "select v as src, dist_sum as d1, dist_sum as d2 from p",
         "scalar_topk": _topk_sql("supp_part_sparse", "component"),
         "nation_topk": _topk_sql("nation_region", "component"),
     }
+    o["order_neighbourhood_batches"] = o["order_neighbourhood"].replace("select v, row_number() over (order by d desc, hub, degree desc, v) - 1 as position", f"select v, position, {batch} from (select v, row_number() over (order by d desc, hub, degree desc, v) - 1 as position") + ")"
     for g in ("cust_part_q50", "part_part_q45", "supp_part_sparse"):
         tail = "" if g == "cust_part_q50" else "_" + g
         o["connected_components" + tail] = _base(g) + "select v, comp from comps"
         o["component_stats" + tail] = _base(g) + "select comp, n_vertices, n_edges from stats"
     o["connected_components_stars"] = o["connected_components_part_part_q45"]
     for name in ("bfs_distances", "bfs_distances_bottom_up", "bfs_distances_switch"):
-        o[name] = _base("part_part_q48") + f"select s as src, v, d from r where s in {picked.format(n=FEW)}"
+        o[name] = _base("part_part_q48") + "select s as src, v, d from r"
     for mode in ("component", "global"):
         for g in ("supp_part_q49", "part_part_q45", "cust_part_q50"):
             tail = "" if g == "supp_part_q49" else "_" + g

@@ -6,8 +6,9 @@ import time
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hopgrid.operators import bfs, components, kernel, msbfs, normalize, orderings, topk
+from hopgrid.operators import bfs, components, kernel, msbfs, normalize, orderings, topk, trace
 from hopgrid.session import cut
 from hopgrid.sources.edges import read_edge_csv
 from hopgrid.sources.results import result_string
@@ -88,6 +89,9 @@ class Graph:
 
 def run_workload(spark: SparkSession, path: str, runs: int = 1, strategies: tuple[str, ...] = ("auto",), mode: str = "component", limit: int | None = None) -> list[dict]:
     """Run every data set of a workload file; load, components and traversal are timed apart, and each full answer is checked."""
+    unknown = [x for x in strategies if x not in STRATEGIES]
+    if unknown:
+        raise ValueError(f"unknown strategies: {', '.join(unknown)}; known are {', '.join(STRATEGIES)}")
     report = []
     for line in read_workload(spark, path).collect():
         began = time.perf_counter()
@@ -102,3 +106,15 @@ def run_workload(spark: SparkSession, path: str, runs: int = 1, strategies: tupl
                 report.append({"dataset": line["dataset"], "strategy": strategy, "ms": int(1000 * (time.perf_counter() - start)), "load_ms": int(1000 * (loaded - began)), "components_ms": int(1000 * (analysed - loaded)), "answer": answer, "correct": answer == line["reference"] if limit is None else None})
     return report
 
+
+
+def summary(spark: SparkSession, report: list[dict]) -> DataFrame:
+    """(dataset, strategy, runs, mean_ms, min_ms, factor, correct) of a report: factor is against the data set's best strategy."""
+    out = None
+    for dataset in dict.fromkeys(r["dataset"] for r in report):
+        own = [r for r in report if r["dataset"] == dataset]
+        wrong = {r["strategy"] for r in own if r["correct"] is False}
+        rows = trace.run_summary(spark, [(r["strategy"], r["ms"]) for r in own])
+        rows = rows.select(F.lit(dataset).alias("dataset"), "*", (~F.col("strategy").isin(sorted(wrong)) if wrong else F.lit(True)).alias("correct"))
+        out = rows if out is None else out.union(rows)
+    return out

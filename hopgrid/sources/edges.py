@@ -32,3 +32,8 @@ def from_frame(df: DataFrame, src: str, dst: str) -> DataFrame:
 def line_count(spark: SparkSession, path: str) -> int:
     """Lines of a text file; a last line without a newline counts."""
     return spark.read.text(path).count()
+
+
+def write_edge_text(edges: DataFrame, path: str, sep: str = "|", rest: str = "") -> None:
+    """Headless `src<sep>dst` lines, `rest` behind each."""
+    edges.select(F.concat(F.col("src").cast("string"), F.lit(sep), F.col("dst").cast("string"), F.lit(rest))).write.text(path)

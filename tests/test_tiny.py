@@ -1,5 +1,7 @@
 """The hand-checked graph: reversed and exact duplicates, self-loops, a path, a triangle and a pair."""
 
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -84,3 +86,102 @@ def test_masks_match_kernel(spark, pairs):
     sizes = {r["v"]: r["n_vertices"] for r in g.components.join(g.stats, "comp").collect()}
     for r in msbfs.reach_dist(g.hop_counts("bitmask")).collect():
         assert r["reach"] == sizes[r["src"]] - 1
+
+
+def test_unknown_names_are_errors(tiny):
+    for call in (lambda: tiny.top_k(strategy="nonsense"), lambda: tiny.closeness(strategy="pruned"), lambda: tiny.hop_counts("pruned"), lambda: tiny.top_k(mode="x"), lambda: tiny.top_k(mode="x", strategy="pruned")):
+        with pytest.raises(ValueError, match="unknown|no such"):
+            call()
+
+
+@pytest.mark.parametrize("mode", ["component", "global"])
+def test_pruned_takes_limit_and_n(tiny, mode):
+    for limit, n in ((3, None), (None, 1000), (4, 500)):
+        assert rows_of(tiny.top_k(mode=mode, strategy="pruned", limit=limit, n=n)) == rows_of(tiny.top_k(mode=mode, limit=limit, n=n))
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def web(spark):
+    """A hub with spokes, a clique and a long tail: frontiers grow, cover most of it, and get small again."""
+    edges = [(0, k) for k in range(1, 60)] + [(a, b) for a in range(60, 80) for b in range(60, a)] + [(59, 60)] + [(k, k + 1) for k in range(79, 85)]
+    return Graph(spark.createDataFrame(edges, "src long, dst long"))
+
+
+@pytest.mark.parametrize("strategy", ["bitmask", "bottom_up", "switch", "scalar", "scalar_bottom_up", "scalar_switch"])
+def test_strategies_give_all_rows(web, strategy):
+    assert rows_of(web.hop_counts(strategy)) == rows_of(web.hop_counts("kernel"))
+
+
+def test_directions_change_both_ways(web):
+    way = [r["direction"] for r in web.traversal(direction="switch").trace]
+    assert way[0] == "down" and "up" in way and "down" in way[way.index("up") :]
+
+
+@pytest.mark.parametrize("mode,small", [("component", True), ("global", True), ("component", False)])
+def test_pruning_ends_searches(web, mode, small):
+    from hopgrid.operators import topk
+
+    got = topk.pruned_top_k(web.edges if small else web.layout, web.components, web.stats, 7, mode, first_wave=16, growth=4, small=small)
+    assert rows_of(got) == rows_of(web.top_k(mode=mode))
+
+
+def test_aborted_search_discovers_less(web):
+    from pyspark.sql import functions as F
+
+    ordered = msbfs.ordered_sources(web.sources())
+    every = msbfs.traverse(web.layout, ordered, web.n_vertices)
+    some = msbfs.traverse(web.layout, ordered, web.n_vertices, go_on=lambda reach, dist, hop: dist < F.lit(200))
+    assert some.discovered.count() < every.discovered.count() and 0 < some.finished.count() < web.n_vertices
+    left = {r["v"] for r in some.finished.collect()}
+    full = {r for r in rows_of(msbfs.hop_counts(every)) if r[0] in left}
+    assert {r for r in rows_of(msbfs.hop_counts(some)) if r[0] in left} == full
+
+
+def test_rounds_leave_the_edges_in_place(spark, web):
+    """No exchange of the edges in a round, also if nothing is broadcast."""
+    names = ["w0"]
+    front = spark.createDataFrame([(0, 1, 1, 1)], "batch long, v long, deg long, w0 long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = msbfs.expand_down(front, front.limit(0), web.layout, names)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.split("== Initial Plan ==")[0].splitlines()
+    depth = lambda x: re.search(r"[A-Za-z*]", x).start()
+    scan = next(k for k, x in enumerate(lines) if "Scan parquet" in x and "deg" in x)
+    above, at = [], depth(lines[scan])
+    for x in lines[scan::-1]:  # the scan's ancestors
+        if depth(x) < at:
+            at = depth(x)
+            above.append(x)
+    join = next(k for k, x in enumerate(above) if "SortMergeJoin" in x)
+    assert not any("Exchange" in x for x in above[:join]), above
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from hopgrid.__main__ import main
+
+    (tmp_path / "g.csv").write_text("a|b\n" + "".join(f"{a}|{b}\n" for a, b in RAW))
+    (tmp_path / "w.txt").write_text(f"10 {tmp_path}/g.csv 30|20|40|60|70|80|10\n")
+    assert main([str(tmp_path / "w.txt"), "--runs", "2", "--strategy", "kernel", "--strategy", "pruned"]) == 0
+    out = capsys.readouterr().out
+    assert out.count("answer=30|20|40|60|70|80|10") == 4 and "factor=1.0" in out
+    (tmp_path / "w.txt").write_text(f"10 {tmp_path}/g.csv 1|2\n")
+    assert main([str(tmp_path / "w.txt")]) == 1
+
+
+def test_shared_folder_must_be_set_off_local_masters():
+    from types import SimpleNamespace
+
+    from hopgrid.session import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
