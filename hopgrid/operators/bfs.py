@@ -43,6 +43,7 @@ def bfs_distances(edges: DataFrame, sources: DataFrame, direction: str = "top_do
         universe = starts.join(components, "comp").select("s", "v")
         n_all, m_open = starts.join(sizes, "comp").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
     seen, up, n_front = hops[0], False, hops[0].count()
+    unfolded = [hops[0].select("s", "v")]  # what bottom-up rounds haven't taken into account yet
     while n_front:
         front = hops[-1].select("s", "v")
         if direction == "switch":
@@ -51,9 +52,14 @@ def bfs_distances(edges: DataFrame, sources: DataFrame, direction: str = "top_do
             up = n_front * BETA >= n_all if up else m_front * ALPHA > max(0, m_open)
         up = up or direction == "bottom_up"
         pairs = edges.select("src", "dst")
-        new = _bottom_up(front, _all(hops), pairs, universe) if up else _top_down(front, seen, pairs)
+        if up:
+            unfolded = [known := cut(_all(unfolded))]
+            new = _bottom_up(front, known, pairs, universe)
+        else:
+            new = _top_down(front, seen, pairs)
         hops.append(cut(new.withColumn("d", F.lit(len(hops)).cast("long"))))
         n_front = hops[-1].count()
+        unfolded.append(hops[-1].select("s", "v"))
         # Undirected edges: what a frontier reaches is in the two hops before it or new.
         seen = hops[-1].union(hops[-2])
     return _all(hops).select(F.col("s").alias("src"), "v", "d")

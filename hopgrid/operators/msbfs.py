@@ -86,13 +86,12 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x | y, conditions)
 
 
-def expand_up(front: DataFrame, found: DataFrame, members: DataFrame, full: DataFrame, edges: DataFrame, words: list[str]) -> DataFrame:
+def expand_up(front: DataFrame, seen: DataFrame, members: DataFrame, full: DataFrame, edges: DataFrame, words: list[str]) -> DataFrame:
     """The same asked from the other side: rows of members(batch, v, deg) that still miss sources ask their neighbours for the frontier's masks.
 
-    The members and what they have seen are put together for this round only.
+    The members are met with what they have seen, one row (batch, v) each, for this round only.
     """
     zero = F.lit(0).cast("long")
-    seen = found.groupBy("batch", "v").agg(*[F.bit_or(w).alias(w) for w in words])
     state = members.join(seen, ["batch", "v"], "left").join(full, "batch")
     has = [F.coalesce(F.col(w), zero) for w in words]
     open_ = state.filter(_any([F.col(f"f{k}").bitwiseOR(h) != h for k, h in enumerate(has)]))
@@ -136,6 +135,7 @@ def traverse(
     front = cut(sources.join(own, "v").groupBy("batch", "v").agg(F.max("deg").alias("deg"), *_masks(words)))
     before = front.limit(0)
     out, trace, up = [front], [], False
+    unfolded: list[DataFrame] = [front]  # what bottom-up rounds haven't taken into account yet
     m_all = n_all = 0
     if direction != "top_down":
         info = cut(components.join(own, "v"))
@@ -154,8 +154,12 @@ def traverse(
         if direction == "switch":
             up = found["n"] * BETA >= n_all if up else found["m"] * ALPHA > max(0, m_open)
         up = up or direction == "bottom_up"
-        fresh = expand_up(front, _union(out), members, full, edges, names) if up else expand_down(front, before, edges, names)
-        fresh = cut(fresh)
+        if up:
+            seen = _union([x.select("batch", "v", *names) for x in unfolded]).groupBy("batch", "v").agg(*[F.bit_or(w).alias(w) for w in names])
+            unfolded = [seen := cut(seen)]
+            fresh = cut(expand_up(front, seen, members, full, edges, names))
+        else:
+            fresh = cut(expand_down(front, before, edges, names))
         if go_on:
             fresh, live = _abort(fresh, live, go_on, len(out), words)
         before, front = front, fresh
@@ -163,6 +167,7 @@ def traverse(
         m_open -= found["m"]
         if found["rows"]:
             out.append(front)
+            unfolded.append(front)
         trace.append({"round": len(trace) + 1, "rows": found["rows"], "direction": "up" if up else "down", "duration_ms": int(1000 * (time.perf_counter() - began))})
     discovered = _union([x.withColumn("hop", F.lit(k).cast("long")) for k, x in enumerate(out)]).drop("deg")
     return Traversal(discovered, sources, words, trace, live.select("v") if go_on else None)

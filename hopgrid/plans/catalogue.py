@@ -137,8 +137,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     on("diameter", "part_part_q45")(lambda g: msbfs.eccentricity(g.hop_counts()).agg(F.max("ecc").alias("diameter")))
     on("traversed_edges", "cust_part_q50")(lambda g: trace.traversed_edges(g.sources(), g.components, g.stats))
     on("order_neighbourhood_batches", "cust_part_q50")(lambda g: orderings.neighbourhood_batches(g.edges))
-    on("hop_counts_bottom_up", "part_part_q45")(lambda g: g.hop_counts("bottom_up"))
-    on("hop_counts_switch", "part_part_q45")(lambda g: g.hop_counts("switch"))
+    on("hop_counts_bottom_up", "part_part_q48")(lambda g: g.hop_counts("bottom_up"))
+    on("hop_counts_switch", "part_part_q48")(lambda g: g.hop_counts("switch"))
     on("frontier_sharing_part_part_q48", "part_part_q48")(lambda g: msbfs.frontier_sharing(g.traversal(words=1)))
     on("edge_sharing_part_part_q48", "part_part_q48")(lambda g: msbfs.edge_sharing(g.traversal(words=1), g.edges))
     on("trace_rounds", "supp_part_sparse")(lambda g: trace.round_table(g.spark, [g.traversal(words=1).trace]).select("round", "runs", "rows"))
@@ -237,8 +237,8 @@ select v, row_number() over (order by d desc, hub, degree desc, v) - 1 as positi
         "eccentricity": _base("part_part_q45") + "select v, ecc from p",
         "diameter": _base("part_part_q45") + "select max(ecc) as diameter from p",
         "traversed_edges": _base("cust_part_q50") + "select cast(sum(n_edges) as bigint) as n_edges from comps join stats using (comp)",
-        "hop_counts_bottom_up": _base("part_part_q45") + "select s as src, d as hop, count(*) as n from r where d>0 group by s,d",
-        "hop_counts_switch": _base("part_part_q45") + "select s as src, d as hop, count(*) as n from r where d>0 group by s,d",
+        "hop_counts_bottom_up": _base("part_part_q48") + "select s as src, d as hop, count(*) as n from r where d>0 group by s,d",
+        "hop_counts_switch": _base("part_part_q48") + "select s as src, d as hop, count(*) as n from r where d>0 group by s,d",
         "frontier_sharing_part_part_q48": _base("part_part_q48") + PLACE + "select d as round, bits, count(*) as n from held group by d, bits",
         "edge_sharing_part_part_q48": _base("part_part_q48")
         + PLACE
