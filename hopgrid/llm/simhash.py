@@ -116,8 +116,14 @@ class GrayIndex:
             root = np.repeat(root, np.diff(heads))
         self.root = root
 
-    def links(self, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs a < b within the limit, of the same tree; `most` queries go down at a time."""
+    def links(self, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs a < b within the limit, of the same tree; `most` queries go down at a time.
+
+        By default 1024 at the contract's limit, where trees are pruned to some hundreds of nodes; at
+        wider ones so many that they could visit a million nodes if nothing were pruned.
+        """
+        if most is None:
+            most = 1024 if self.limit <= LIMIT else max(1, (1 << 20) // int(np.bincount(self.root).max(initial=1)))
         a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for q in range(0, len(self.fps), most):
             who = np.arange(q, min(len(self.fps), q + most))
@@ -229,7 +235,8 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
         large = sizes.filter(F.col("n") > BUCKET).select("m", "key")
         small = sizes if last else sizes.filter(F.col("n") <= BUCKET)
         met = dealt.join(small.select("m", "key"), ["m", "key"]).select("m", "key", "fp").repartitionByRange("m", "key").sortWithinPartitions("m", "key")
-        turns = [(64 - m.bit_length()) for m in masks] if level == 0 else None
+        # Beyond the contract's limit a tree over many keys would be pruned too little: each key has its own.
+        turns = [(64 - m.bit_length()) for m in masks] if level == 0 and limit <= LIMIT else None
         own = met.mapInArrow(_search(limit, turns), "src long, dst long")
         found = own if found is None else found.union(own)
         if last or large.isEmpty():
