@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopgrid.llm.pii_table import FIRST, LABELS, labelled_table
+from hopgrid.llm.pii_table import ADDRESS, FIRST, LABELS, labelled_table
 from hopgrid.llm.text import LOWER, NOT_SPACE, bounds, byte_class, chunks, numbered, span_hash, words
 
 KINDS = ("email", "ip", "card", "phone", "name", "local", "id")
@@ -265,6 +265,12 @@ NAME_WORDS = 5
 SPAN_KIND = {1: 4, 2: 5, 3: 6}
 
 
+def name_like(own: list[bytes]) -> bool:
+    """A name is short, repeats no word, begins and ends with words that have no small initial, and only one letter in it ends in a full stop."""
+    small = any(b"a" <= w.lstrip(b"(\"'")[:1] <= b"z" for w in (own[0], own[-1]))
+    return len(own) <= NAME_WORDS and len(set(own)) == len(own) and not small and not any(w.endswith(b".") and len(w) > 2 for w in own[:-1])
+
+
 def find_spans(c, model: Field | None = None) -> list[tuple[int, list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(text's index, base spans, all spans) for the texts of a chunk that have any."""
     starts, ends, counts, labels = (model or field()).label(c.buf, c.offs)
@@ -290,8 +296,10 @@ def find_spans(c, model: Field | None = None) -> list[tuple[int, list[tuple[int,
                 e -= 1
             a, b = len(raw[:s].decode("utf-8", "replace")), len(raw[:e].decode("utf-8", "replace"))
             own_words = [raw[x:y] for x, y in zip(starts[run] - c.offs[i], ends[run] - c.offs[i])]
-            if labels[run[0]] == LABELS.index("NAME") and (len(run) > NAME_WORDS or len(set(own_words)) < len(run)):
-                continue  # a name is short and repeats no word
+            if labels[run[0]] == LABELS.index("NAME") and not name_like(own_words):
+                continue
+            if labels[run[0]] == LABELS.index("NAME") and len(run) == 1 and (run[0] == edge[i] or raw[starts[run[0] - 1] - c.offs[i] : ends[run[0] - 1] - c.offs[i]].decode("utf-8", "replace").lower() not in ADDRESS):
+                continue
             if b - a >= 4 and not any(x < b and a < y for x, _, y in base):
                 every.append((a, SPAN_KIND[int(labels[run[0]])], b))
         if every:

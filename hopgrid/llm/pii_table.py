@@ -19,6 +19,8 @@ FIRST = """Anna John Maria Pierre Sofia James Karin Juan Claire Omar Eva Thomas
 Pablo Isabel Robert Patricia William Linda Richard Susan Stefan Sabine Klaus Petra Antoine Sylvie Olivier Manuel Rosa Diego Elena Priya Wei Yuki Ahmed Fatima Ivan Olga Kofi Amara Noah""".split()
 LAST = """Schmidt Miller Garcia Dubois Rossi O'Neil Vogel Perez Haddad Novak Smith Johnson Brown Jones Davis Wilson Taylor Anderson Müller Schneider Fischer Weiß Wagner Becker Hoffmann Bernard Petit Moreau
 Laurent Lefebvre Girard Martinez Lopez Gonzalez Hernandez Sanchez Ramirez Fernandez Kowalski Nguyen Chen Patel Kim Silva Costa Larsen Jansen Okafor Ali Tanaka Romano McCarthy Lloyd-George Le-Roux""".split()
+#: Forms of address: only behind one of these is a single word taken for a name.
+ADDRESS = set("mr. mr mrs. mrs ms. ms dr. dr prof. prof herr herrn frau mme madame monsieur m. señor señora sr. sra. don doña dear cher chère lieber liebe estimado estimada name: nom: nombre:".split())
 #: d is a digit, A a capital letter.
 PHONES = "ddd-dddd|(ddd) ddd-dddd|ddd-ddd-dddd|ddd.ddd.dddd|0dd ddddddd|0d dd dd dd dd|0dd/ddd-dddd|0ddd ddddddd|9dd ddd ddd|0dddd-dddddd|ddd ddd dddd|0d.dd.dd.dd.dd|6dd dd dd dd|0ddd/dddddd".split("|")
 IDS = "ddd-dd-dddd|ddd-dd-dddd|DEdddddddddddddddddddd|FRdddddddddddddddddAdd|ESdddddddddddddddddddddd|GBddAAAAdddddddddddddd|Adddddddd|AAddddddA|ddddddddA|AAAdddddd|Adddddddd|AddAAddAA".split("|")

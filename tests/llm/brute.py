@@ -173,7 +173,10 @@ def field_spans(field, text, trim=":.,;()\"'"):
                 e += 1
             kind = {1: "name", 2: "local", 3: "id"}.get(path[t])
             words = [w for _, w in found[t : e + 1]]
-            if kind and not (kind == "name" and (len(words) > 5 or len(set(words)) < len(words))):
+            odd = len(words) > 5 or len(set(words)) < len(words) or any(re.match(r"[(\"']*[a-z]", w) for w in (words[0], words[-1])) or any(re.search(r"..\.$", w) for w in words[:-1])
+            before = WORD.findall(text[: found[t][0]])
+            odd = odd or len(words) == 1 and not (before and before[-1].lower() in pii.ADDRESS)
+            if kind and not (kind == "name" and odd):
                 a, b = found[t][0], found[e][0] + len(found[e][1])
                 while a < b and text[a] in trim and text[a] != "(":
                     a += 1
