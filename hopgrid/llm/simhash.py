@@ -13,6 +13,10 @@ are dealt again by blocks of their other bits, in the same way, until few enough
 fixed. Tasks emit star links, not pairs; components come from star contraction over the links, with
 the smallest document id per component.
 
+The contract's form is one fingerprint of 3-word shingles. A caller can ask for several independent ones
+of other shingles: documents then link if any of their fingerprints do. Several narrow searches find more
+of the near copies than one wide search does, and compare fewer fingerprints.
+
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; ids may
 repeat (each row is answered); a null id is never a component's id unless all of its ids are null;
 extra columns, whatever their names, are ignored by `components` and kept by `keep_one`, which of
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from hopgrid.llm.text import LOWER, bounds, chunks, numbered
+from hopgrid.llm.text import LOWER, bounds, chunks, mix, numbered
 from hopgrid.operators.components import min_labels
 from hopgrid.session import cut
 
@@ -47,8 +51,8 @@ TABLES = 400
 U = np.uint64
 
 
-def fingerprints(c) -> np.ndarray:
-    """64-bit fingerprints of a chunk's texts."""
+def fingerprints(c, words: int = SHINGLE, prints: int = 1) -> list[np.ndarray]:
+    """64-bit fingerprints of a chunk's texts; those after the first are of the shingles' hashes, mixed anew."""
     low = LOWER[c.buf].tobytes()
     digest = xxhash.xxh64_intdigest
     hashes: list[int] = []
@@ -59,30 +63,36 @@ def fingerprints(c) -> np.ndarray:
             continue
         text = b" ".join(w)
         ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-        k = min(SHINGLE, len(w))
+        k = min(words, len(w))
         starts = np.concatenate(([0], ends[: len(w) - k] + 1)).tolist()
         hashes += [digest(text[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist())]
         counts[i] = len(starts)
-    out = np.zeros(len(c), U)
-    some = np.flatnonzero(counts)
-    if len(some):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, bounds(counts[some])[:-1], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * sums > counts[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
-
-
-def with_fingerprint(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp) per document; fp is the fingerprint as a signed long."""
+    some, every = np.flatnonzero(counts), np.array(hashes, "<u8")
+    found = []
+    for k in range(prints):
+        out = np.zeros(len(c), U)
+        if len(some):
+            own = mix(every + U(k)) if k else every
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.add.reduceat(bits, bounds(counts[some])[:-1], axis=0, dtype=np.int32)
+            out[some] = np.packbits(2 * sums > counts[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
+        found.append(out)
+    return found
+
+
+def with_fingerprint(documents: DataFrame, words: int = SHINGLE, prints: int = 1) -> DataFrame:
+    """(doc_id, text_hash, fp, fp1, ...) per document: its fingerprints as signed longs."""
+    names = ["fp", *[f"fp{k}" for k in range(1, prints)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            parts = [fingerprints(c) for c in chunks(rb.column("text"))]
-            fp = np.concatenate(parts) if parts else np.zeros(0, U)
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("text_hash"), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+            parts = [fingerprints(c, words, prints) for c in chunks(rb.column("text"))]
+            fps = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, U)] * prints
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("text_hash"), *[pa.array(f.view(np.int64)) for f in fps]], names=["doc_id", "text_hash", *names])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+    schema = f"doc_id {kind}, text_hash long, " + ", ".join(f"{n} long" for n in names)
+    return documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -248,11 +258,28 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
         dealt, level = cut(again.select("m", F.col("fp").bitwiseAND(bits).alias("key"), "fp")), level + 1
 
 
+def _linked(prints: DataFrame, name: str, limit: int) -> DataFrame:
+    """(src, dst) over first fingerprints: enough links to connect all rows whose fingerprints `name` are within the limit.
+
+    The least first fingerprint of each value of `name` stands for the rows that share it.
+    """
+    pairs = cut(prints.select("fp", name).distinct())
+    least = cut(pairs.groupBy(name).agg(F.min("fp").alias("least")))
+    shared = pairs.join(least, name).filter("fp <> least").select(F.col("fp").alias("src"), F.col("least").alias("dst"))
+    own = cut(links(least.select(F.col(name).alias("fp")), limit).distinct())
+    for end in ("src", "dst"):
+        own = own.join(least.withColumnRenamed(name, end), end).drop(end).withColumnRenamed("least", f"{end}_")
+    return own.toDF("src", "dst").union(shared)
+
+
 def groups(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(fp, component_id, first): component of each distinct fingerprint; first is its first (doc_id, text_hash)."""
+    """(fp, component_id, first): component of each distinct first fingerprint; first is its first (doc_id, text_hash)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     distinct = cut(prints.groupBy("fp").agg(first.alias("first")))
-    labels = min_labels(cut(links(distinct.select("fp"), limit).distinct())).withColumnRenamed("v", "fp")
+    found = links(distinct.select("fp"), limit)
+    for name in prints.columns[3:]:
+        found = found.union(_linked(prints, name, limit))
+    labels = min_labels(cut(found.distinct())).withColumnRenamed("v", "fp")
     labelled = cut(distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     best = labelled.groupBy("label").agg(F.min("first").alias("first"))
     return labelled.select("fp", "label").join(best, "label").select("fp", F.col("first.doc_id").alias("component_id"), "first")
@@ -265,15 +292,17 @@ def components(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
+def keep_one(documents: DataFrame, limit: int = LIMIT, words: int = SHINGLE, prints: int = 1) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns.
 
+    Documents are linked if any of their `prints` fingerprints of `words`-word shingles are within the limit.
+
     The choice is made on (doc_id, hash of the text); of rows equal in both one stays. Texts cross one exchange.
     """
     own, names = numbered(documents), documents.columns
     id_, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
-    prints = cut(with_fingerprint(documents))
-    chosen = cut(groups(prints, limit).select("first").distinct().select("first.doc_id", "first.text_hash"))
+    printed = cut(with_fingerprint(documents, words, prints))
+    chosen = cut(groups(printed, limit).select("first").distinct().select("first.doc_id", "first.text_hash"))
     keyed = own.withColumn("own_hash", F.xxhash64(text))
     hit = keyed.join(chosen, F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_semi")
     rest = F.to_json(F.struct(F.lit(0), *[c for c in own.columns if c not in (id_, text)]))

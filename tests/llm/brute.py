@@ -82,15 +82,25 @@ def contamination(docs, items):
     return out
 
 
-def fingerprint(text):
+def again(x):
+    """A second hash of a hash: the finaliser of splitmix64."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+def fingerprint(text, words=3, k=0):
+    """The k-th fingerprint: the first is of the hashes themselves."""
     w = WORD.findall(lower(text))
-    h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + words]).encode(), 42) for i in range(max(1, len(w) - words + 1))] if w else []
+    h = [again((x + k) % 2**64) for x in h] if k else h
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(docs, limit=2):
-    """(doc_id, fingerprint, component_id) per document."""
-    f = np.array([fingerprint(t) for _, t in docs], np.uint64)
+def components(docs, limit=2, words=3, prints=1):
+    """(doc_id, fingerprint, component_id) per document; any of the fingerprints can link."""
+    every = [np.array([fingerprint(t, words, k) for _, t in docs], np.uint64) for k in range(prints)]
+    f = every[0]
     up = list(range(len(f)))
 
     def root(x):
@@ -100,7 +110,8 @@ def components(docs, limit=2):
         return x
 
     for i in range(len(f)):
-        for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= limit).tolist():
+        near = np.any([np.bitwise_count(g ^ g[i]) <= limit for g in every], axis=0)
+        for j in np.flatnonzero(near).tolist():
             a, b = root(i), root(j)
             up[max(a, b)] = min(a, b)
     ids = {}
