@@ -26,13 +26,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-#: Differing bits of near copies: wider than the operator's own contract, as copies with a few words changed differ in more.
-NEAR_BITS = 6
+#: Near copies: some fingerprint of NEAR_PRINTS over shingles of NEAR_WORDS words differs in NEAR_BITS bits at most.
+#: Wider than the operator's own contract, which meets few copies with a similarity of 0.8 over five words.
+NEAR_BITS, NEAR_WORDS, NEAR_PRINTS = 4, 2, 4
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return simhash.keep_one(docs, NEAR_BITS)
+    return simhash.keep_one(docs, NEAR_BITS, NEAR_WORDS, NEAR_PRINTS)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
