@@ -99,7 +99,7 @@ def plain_pipeline(spark, docs):
     """The stages one after another on Python lists."""
     kept = {d for d, sure in plain_verdicts(spark, SF) if sure}
     rows_ = [(d, t) for d, t in pairs(docs) if d in kept]
-    rows_ = [(d, t) for (d, t), (_, _, c) in zip(rows_, brute.components(rows_, corpus_pipeline.NEAR_BITS)) if d == c]
+    rows_ = [(d, t) for (d, t), (_, _, c) in zip(rows_, brute.components(rows_, corpus_pipeline.NEAR_BITS, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PRINTS)) if d == c]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows_ = [x for x, y in zip(rows_, brute.contamination(rows_, items)) if not y[-1]]
     texts = [brute.redacted(t, brute.personal(t) + brute.field_spans(pii.field(), t)) for _, t in rows_]

@@ -262,6 +262,40 @@ def test_keep_one(name, request):
     assert all(by_print[f"{brute.fingerprint(t):016x}"] == d for d, t in pairs(out))
 
 
+@pytest.mark.parametrize("name", FRAMES)
+def test_keep_one_of_several_prints(name, request):
+    df = request.getfixturevalue(name)
+    out = simhash.keep_one(df, 4, 2, 3)
+    kept = {c for *_, c in brute.components(pairs(df), 4, 2, 3)}
+    assert out.columns == df.columns
+    assert rows(out, "doc_id") == sorted(((i,) for i in kept), key=repr)
+
+
+def test_near_copies_meet(spark):
+    """Texts with a similarity of 0.8 or more over five words are joined, unlike ones aren't."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    docs, copies, met = [], 0, 0
+    for i in range(60):
+        w = [f"w{rng.randrange(3000)}" for _ in range(250)]
+        v = list(w)
+        for k in rng.sample(range(250), rng.randrange(1, 6)):
+            v[k] = "changed"
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    five = [{tuple(t.split()[k : k + 5]) for k in range(246)} for _, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one(spark, df, "").collect()}
+    assert kept >= set(range(0, 120, 2))
+    for i in range(60):
+        a, b = five[2 * i], five[2 * i + 1]
+        if len(a & b) >= 0.8 * len(a | b):
+            copies, met = copies + 1, met + (2 * i + 1 not in kept)
+    assert copies >= 40 and met >= 0.9 * copies
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.sets(st.integers(0, 63), max_size=3), st.integers(0, 2)), min_size=1, max_size=120))
 def test_gray_index(items):
