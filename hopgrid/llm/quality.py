@@ -17,8 +17,7 @@ predicted one: all that a 5-gram's score needs of orders 3 to 5 is in its own pa
 most 65,792 grams a model) are in every part. Discounts and counts are those of the whole table, so
 the number of parts doesn't change a score. The driver and a task hold one part at a time.
 
-With labels, bands come from texts labelled good: of at most MAX_LABELLED such labels (those with the
-least hashes), the texts that pass the base rules. A band is what keeps KEPT of them, by quantiles of
+With labels, bands come from all texts labelled good that pass the base rules. A band is what keeps KEPT of them, by quantiles of
 their scores: per language and class of length (LENGTHS) if it has LEAST_GOOD such texts; a language's
 other classes share a band, or all of them if the others have fewer together. A language with fewer
 good labels (or all, without labels) has no such quantiles: its band lies from SPREAD_LOW median
@@ -51,7 +50,6 @@ MAX_REPEAT = 50  # percent of words in repeated 3-word windows
 FEED_SYMBOLS, FEED_CAPITALS = 0.1, 0.3
 PART_GRAMS = 4_000_000
 CHUNK_BYTES = 1 << 20  # larger than usual: a chunk looks up each of its different grams once
-MAX_LABELLED = 50_000
 MAX_BANDS = 100_000  # rows of bands (four a language) that are broadcast; more are joined by an exchange
 SPREAD_LOW, SPREAD_HIGH = 7.0, 12.0
 FULL_WORDS = 400
@@ -381,9 +379,9 @@ def scaled(log_ppl, middle, n_words):
     return (log_ppl - middle) * F.sqrt(F.least(n_words, F.lit(FULL_WORDS)) / FULL_WORDS)
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: Column, **shares: float) -> DataFrame:
-    """Per key the values at these shares of its rows, from histograms in steps of 0.001."""
-    hist = cut(rows.groupBy(*keys, F.round(value, 3).alias("v")).agg(F.count(F.lit(1)).alias("n")))  # so that no window reads what tasks counted each for themselves
+def quantiles(rows: DataFrame, keys: list[str], value: Column, times: Column | None = None, **shares: float) -> DataFrame:
+    """Per key the values at these shares of its rows, from histograms in steps of 0.001; a row counts as often as `times` says."""
+    hist = cut(rows.groupBy(*keys, F.round(value, 3).alias("v")).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("n")))  # so that no window reads what tasks counted each for themselves
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("v"))
     total = F.sum("n").over(Window.partitionBy(*keys))
     placed = hist.select(*keys, "v", (upto / total).alias("share"))
@@ -391,9 +389,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: Column, **shares: float)
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
-    """(doc_id) of the documents that all labels call good, MAX_LABELLED at most, by least hash."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    """(doc_id) of the documents that all labels call good."""
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
 
 
 def bands(scored: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -402,15 +399,16 @@ def bands(scored: DataFrame, labels: DataFrame | None) -> DataFrame:
     lengths = F.explode(F.array(*[F.lit(k) for k in range(len(LENGTHS) + 1)])).alias("length")
     held = None
     if labels is not None:
-        good = usable.join(F.broadcast(cut(good_labels(labels))), "doc_id", "left_semi").select("language", "length", "log_ppl")
-        n = good.groupBy("language", "length").agg(F.count(F.lit(1)).alias("n"))
+        scores = usable.join(good_labels(labels), "doc_id", "left_semi").groupBy("language", "length", F.round("log_ppl", 3).alias("log_ppl"))
+        good = cut(scores.agg(F.count(F.lit(1)).alias("times")))
+        n = good.groupBy("language", "length").agg(F.sum("times").alias("n"))
         every = good.select("language").distinct().select("language", lengths).join(n, ["language", "length"], "left").fillna(0, ["n"])
         per = Window.partitionBy("language")
         small = F.sum(F.when(F.col("n") < LEAST_GOOD, F.col("n")).otherwise(0)).over(per)
         every = every.withColumns({"small": small, "total": F.sum("n").over(per)}).filter(F.col("total") >= LEAST_GOOD)
         alone = (F.col("n") >= LEAST_GOOD) & ~F.col("small").between(1, LEAST_GOOD - 1)
         group = cut(every.select("language", "length", F.when(alone, F.col("length")).otherwise(-1).alias("class")))
-        at = quantiles(good.join(group, ["language", "length"]), ["language", "class"], F.col("log_ppl"), low=(1 - KEPT) / 2, middle=0.5, high=(1 + KEPT) / 2)
+        at = quantiles(good.join(group, ["language", "length"]), ["language", "class"], F.col("log_ppl"), F.col("times"), low=(1 - KEPT) / 2, middle=0.5, high=(1 + KEPT) / 2)
         held = group.join(at, ["language", "class"]).select("language", "length", "middle", (F.col("middle") - F.col("low") + 0.0005).alias("below"), (F.col("high") - F.col("middle") + 0.0005).alias("above"), F.lit(1).alias("full"))
         held = cut(held)
         usable = usable.join(held.select("language").distinct(), "language", "left_anti")

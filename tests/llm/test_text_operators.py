@@ -398,3 +398,15 @@ def test_special_tokens():
     t, own = Tokenizer.from_file(TOKENIZER), bpe.encoder(TOKENIZER)
     for s in ("<|startoftext|>Hi<|endoftext|> you", "<|endoftext|><|endoftext|>", "<|endoftext", "a" * 500):
         assert np.frombuffer(own.encode(s)[0], "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
+
+
+def test_bands_take_all_good_labels(spark):
+    """However many labels there are: the band is that of all good texts, to the step of the histogram."""
+    n = 120_000
+    scored = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("+en").alias("language"), F.lit(0).alias("length"), F.lit(500).alias("n_words"), F.lit(False).alias("base_failed"), (F.col("id") / 10_000).alias("log_ppl"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.good_labels(labels).count() == n
+    band = next(r for r in quality.bands(scored, labels).collect() if r["length"] == 0)
+    want = [round((round(n * share) - 1) / 10_000, 3) for share in ((1 - quality.KEPT) / 2, 0.5, (1 + quality.KEPT) / 2)]
+    got = [band["middle"] - band["below"] + 0.0005, band["middle"], band["middle"] + band["above"] - 0.0005]
+    assert all(abs(a - b) < 0.0011 for a, b in zip(got, want)), (got, want)
