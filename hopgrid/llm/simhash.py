@@ -127,14 +127,18 @@ class GrayIndex:
         self.root = root
 
     def links(self, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs a < b within the limit, of the same tree; `most` queries go down at a time.
+        """Index pairs a < b within the limit, of the same tree."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *self.met(most)]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def met(self, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of `links` bit by bit: `most` queries go down at a time, so that not all pairs are held.
 
         By default 1024 at the contract's limit, where trees are pruned to some hundreds of nodes; at
         wider ones so many that they could visit a million nodes if nothing were pruned.
         """
         if most is None:
             most = 1024 if self.limit <= LIMIT else max(1, (1 << 20) // int(np.bincount(self.root).max(initial=1)))
-        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for q in range(0, len(self.fps), most):
             who = np.arange(q, min(len(self.fps), q + most))
             node = self.root[who]
@@ -153,22 +157,21 @@ class GrayIndex:
                 diff = diff + np.bitwise_count((self.fps[who] ^ pattern[child]) & above[child] & ~seen)
                 node = child
             ok = (diff <= self.limit) & (who < node)
-            a_out.append(who[ok])
-            b_out.append(node[ok])
-        return np.concatenate(a_out), np.concatenate(b_out)
+            yield who[ok], node[ok]
 
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         """Index pairs from each linked fingerprint to the first of its group: the same groups with fewer rows."""
-        a, b = self.links()
         label = np.arange(len(self.fps))
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            label = label[label]
-            if (label == before).all():
-                break
+        for a, b in self.met():
+            while True:
+                a, b = label[a], label[b]  # the first of each group so far
+                apart = a != b
+                if not apart.any():
+                    break
+                a, b = a[apart], b[apart]
+                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                while (label[label] != label).any():
+                    label = label[label]
         own = np.flatnonzero(label != np.arange(len(label)))
         return own, label[own]
 

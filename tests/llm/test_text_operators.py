@@ -410,3 +410,21 @@ def test_bands_take_all_good_labels(spark):
     want = [round((round(n * share) - 1) / 10_000, 3) for share in ((1 - quality.KEPT) / 2, 0.5, (1 + quality.KEPT) / 2)]
     got = [band["middle"] - band["below"] + 0.0005, band["middle"], band["middle"] + band["above"] - 0.0005]
     assert all(abs(a - b) < 0.0011 for a, b in zip(got, want)), (got, want)
+
+
+def test_stars_do_not_hold_all_pairs():
+    """A group in which all are near all: its pairs pass by some queries at a time, and it comes out as one star."""
+    import tracemalloc
+
+    fps = np.array([1 << i | 1 << j for i in range(63) for j in range(i + 1)], np.uint64)
+    index = simhash.GrayIndex(np.zeros(len(fps), np.int64), fps, 4)
+    a, b = index.links()
+    assert len(a) == len(fps) * (len(fps) - 1) // 2
+    pairs_mb = (a.nbytes + b.nbytes) / 1e6
+    index.met = lambda most=None: type(index).met(index, 16)  # a small step, whose own arrays are small
+    tracemalloc.start()
+    own, first = index.stars()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert sorted(own.tolist()) == list(range(1, len(fps))) and not first.any()
+    assert peak < pairs_mb / 2, (peak, pairs_mb)
