@@ -15,7 +15,9 @@ the smallest document id per component.
 
 The contract's form is one fingerprint of 3-word shingles. A caller can ask for several independent ones
 of other shingles: documents then link if any of their fingerprints do. Several narrow searches find more
-of the near copies than one wide search does, and compare fewer fingerprints.
+of the near copies than one wide search does, and compare fewer fingerprints. They go through one index:
+tables are numbered through all fingerprints of a document, so that the number of Spark's queries, whose
+plans the driver holds, doesn't grow with them.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; ids may
 repeat (each row is answered); a null id is never a component's id unless all of its ids are null;
@@ -189,21 +191,24 @@ def turned(fps: np.ndarray, by: np.ndarray) -> np.ndarray:
     return (fps << by) | (fps >> ((U(64) - by) & U(63)) & np.where(by == 0, U(0), ~U(0)))
 
 
-def _search(limit: int, turns: list[int] | None):
-    """Star links of rows (m, key, fp) sorted by (m, key). With `turns` for each table m, one tree spans all keys of a table; else each key has its own."""
+def _search(limit: int, per: int, turns: list[int] | None):
+    """Star links (p, src, dst) of rows (m, key, fp) sorted by (m, key); print p has the tables m from p * per on. With `turns` for each table of a print, one tree spans all keys of a table; else each key has its own."""
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
         m, fps = rows[:, 0], rows[:, 2].copy().view(U)
         if turns:
-            by = np.array(turns)[m]
-            index = GrayIndex(m, turned(fps, by), limit)
+            by = np.array(turns)
+            index = GrayIndex(m, turned(fps, by[m % per]), limit)
             a, b = index.stars()
-            back = (64 - np.array(turns)) % 64
-            a, b = (turned(index.fps[x], back[index.tree[x]]) for x in (a, b))
+            m = index.tree[a]
+            ends = [turned(index.fps[x], ((64 - by) % 64)[m % per]) for x in (a, b)]
         else:
-            index = GrayIndex(np.unique(rows[:, :2], axis=0, return_inverse=True)[1].ravel(), fps, limit)
-            a, b = (index.fps[x] for x in index.stars())
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
+            keys, tree = np.unique(rows[:, :2], axis=0, return_inverse=True)
+            index = GrayIndex(tree.ravel(), fps, limit)
+            a, b = index.stars()
+            m = keys[index.tree[a], 0]
+            ends = [index.fps[x] for x in (a, b)]
+        return pa.RecordBatch.from_arrays([pa.array(m // per), *[pa.array(x.view(np.int64)) for x in ends]], names=["p", "src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -237,10 +242,15 @@ def _signed(x: int) -> int:
 
 def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(src, dst) over distinct fingerprints fp: enough links to connect all pairs at `limit` or fewer differing bits."""
+    return links_by_print(fps.select(F.lit(0).cast("long").alias("p"), "fp"), limit).select("src", "dst")
+
+
+def links_by_print(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(p, src, dst) over distinct (p, fp), p from 0: for each p, enough links to connect all its pairs at `limit` or fewer differing bits."""
     masks, level = blocks(0, limit), 0
     lows = [(m & -m).bit_length() - 1 for m in masks]
     rank = lambda m, low: _gray(F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(_signed(m))), low))
-    tables = [F.struct(F.lit(k).cast("long").alias("m"), rank(m, low).alias("key"), "fp") for k, (m, low) in enumerate(zip(masks, lows))]
+    tables = [F.struct((F.col("p") * len(masks) + k).alias("m"), rank(m, low).alias("key"), "fp") for k, (m, low) in enumerate(zip(masks, lows))]
     dealt, found = fps.select(F.inline(F.array(*tables))), None
     while True:
         sizes = cut(dealt.groupBy("m", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -250,38 +260,38 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
         met = dealt.join(small.select("m", "key"), ["m", "key"]).select("m", "key", "fp").repartitionByRange("m", "key").sortWithinPartitions("m", "key")
         # Beyond the contract's limit a tree over many keys would be pruned too little: each key has its own.
         turns = [(64 - m.bit_length()) for m in masks] if level == 0 and limit <= LIMIT else None
-        own = met.mapInArrow(_search(limit, turns), "src long, dst long")
+        own = met.mapInArrow(_search(limit, len(masks), turns), "p long, src long, dst long")
         found = own if found is None else found.union(own)
         if last or large.isEmpty():
             return found
         masks = [m | b for m in masks for b in blocks(m, limit)]
         child = F.explode(F.sequence(F.col("m") * (limit + 1), F.col("m") * (limit + 1) + limit))
         again = dealt.join(large, ["m", "key"], "left_semi").select("fp", child.alias("m"))
-        bits = F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), (F.col("m") + 1).cast("int"))
+        bits = F.element_at(F.array(*[F.lit(_signed(m)) for m in masks]), (F.col("m") % len(masks) + 1).cast("int"))
         dealt, level = cut(again.select("m", F.col("fp").bitwiseAND(bits).alias("key"), "fp")), level + 1
 
 
-def _linked(prints: DataFrame, name: str, limit: int) -> DataFrame:
-    """(src, dst) over first fingerprints: enough links to connect all rows whose fingerprints `name` are within the limit.
+def _linked(prints: DataFrame, limit: int) -> DataFrame:
+    """(src, dst) over first fingerprints: enough links to connect all rows of which some fingerprint is within the limit.
 
-    The least first fingerprint of each value of `name` stands for the rows that share it.
+    The least first fingerprint of each value of another one stands for the rows that share it.
     """
-    pairs = cut(prints.select("fp", name).distinct())
-    least = cut(pairs.groupBy(name).agg(F.min("fp").alias("least")))
-    shared = pairs.join(least, name).filter("fp <> least").select(F.col("fp").alias("src"), F.col("least").alias("dst"))
-    own = cut(links(least.select(F.col(name).alias("fp")), limit).distinct())
+    names = ["fp", *prints.columns[3:]]
+    values = F.array(*[F.struct(F.lit(p).cast("long").alias("p"), F.col(c).alias("value"), F.col("fp").alias("own")) for p, c in enumerate(names)])
+    pairs = cut(prints.select(F.inline(values)).distinct())
+    least = cut(pairs.groupBy("p", "value").agg(F.min("own").alias("least")))
+    shared = pairs.join(least, ["p", "value"]).filter("own <> least").select(F.col("own").alias("src"), F.col("least").alias("dst"))
+    own = cut(links_by_print(least.select("p", F.col("value").alias("fp")), limit).distinct())
     for end in ("src", "dst"):
-        own = own.join(least.withColumnRenamed(name, end), end).drop(end).withColumnRenamed("least", f"{end}_")
-    return own.toDF("src", "dst").union(shared)
+        own = own.join(least.withColumnRenamed("value", end), ["p", end]).drop(end).withColumnRenamed("least", f"{end}_")
+    return own.drop("p").toDF("src", "dst").union(shared)
 
 
 def groups(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(fp, component_id, first): component of each distinct first fingerprint; first is its first (doc_id, text_hash)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     distinct = cut(prints.groupBy("fp").agg(first.alias("first")))
-    found = links(distinct.select("fp"), limit)
-    for name in prints.columns[3:]:
-        found = found.union(_linked(prints, name, limit))
+    found = _linked(prints, limit) if prints.columns[3:] else links(distinct.select("fp"), limit)
     labels = min_labels(cut(found.distinct())).withColumnRenamed("v", "fp")
     labelled = cut(distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     best = labelled.groupBy("label").agg(F.min("first").alias("first"))

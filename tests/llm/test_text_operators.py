@@ -271,6 +271,20 @@ def test_keep_one_of_several_prints(name, request):
     assert rows(out, "doc_id") == sorted(((i,) for i in kept), key=repr)
 
 
+def test_prints_share_one_search(spark):
+    """Several fingerprints take hardly more of Spark's jobs than one does: the driver holds the plans of all."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [(10 * i + k, " ".join([*words[:k], f"own{i}", *words[k:]])) for i in range(4) for k in range(5)]
+    df, jobs = spark.createDataFrame(texts, "doc_id long, text string"), []
+    for prints in (1, 4):
+        spark.sparkContext.setJobGroup(f"prints-{prints}", "")
+        kept = simhash.keep_one(df, 4, 2, prints).collect()
+        assert {r["doc_id"] for r in kept} == {c for *_, c in brute.components(texts, 4, 2, prints)}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"prints-{prints}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[1] <= 1.8 * jobs[0], jobs
+
+
 def test_near_copies_meet(spark):
     """Texts with a similarity of 0.8 or more over five words are joined, unlike ones aren't."""
     import random
