@@ -41,6 +41,16 @@ def test_colliding_words(spark):
     assert {r["doc_id"]: r["n_hit"] for r in got.collect()} == {1: 0, 2: 1}
 
 
+def test_colliding_texts(spark):
+    """Two texts of one doc_id with equal XXH64 (seed 42), as a lane's difference is undone in the next 32 bytes; each has its own result."""
+    end = "." * 24 + " " + " ".join(f"w{k}" for k in range(40)) + " " + "z" * 200
+    a, b = "abcdefgh" + "." * 24 + "ijklmnop" + end, "dnxlfwir" + "." * 24 + "vtzwnvra" + end
+    docs = spark.createDataFrame([(1, a), (1, b), (3, a), (None, b[1:]), (None, a[1:])], "doc_id long, text string")
+    assert docs.filter("doc_id = 1").select(F.xxhash64("text")).distinct().count() == 1
+    assert rows(substrings.remove_repeats(docs)) == sorted(brute.removed_words(pairs(docs)), key=repr)
+    assert rows(suffixes.remove_repeats(docs)) == sorted(brute.removed_bytes(pairs(docs)), key=repr)
+
+
 def test_colliding_runs(spark):
     """Words and bytes in Thue-Morse order: whole stretches collide, their windows don't repeat."""
     pad = ["".join(f"{k * 7919 % 997:03d}" for k in range(s, s + 120)) for s in (0, 500)]
